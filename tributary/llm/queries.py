@@ -5,6 +5,13 @@ from __future__ import annotations
 from tributary.llm.common import table
 
 
+def tokenizer_path(name):
+    """A public vocabulary file of the installed package."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op2_exact_dedup(spark, sf_dir):
     from tributary.llm.exact_dedup import exact_dedup_report
 
@@ -17,7 +24,19 @@ def op6_simhash(spark, sf_dir):
     return near_dedup_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op6_simhash)}
+def op3_packing(spark, sf_dir):
+    from tributary.llm.packing import packed_report
+
+    return packed_report(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
+def op9_token_files(spark, sf_dir):
+    from tributary.llm.token_files import token_file_report
+
+    return token_file_report(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_packing, op6_simhash, op9_token_files)}
 ORACLES = {
     "op2_exact_dedup": r"""
         WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
