@@ -36,7 +36,13 @@ def op9_token_files(spark, sf_dir):
     return token_file_report(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_packing, op6_simhash, op9_token_files)}
+def op10_substring_dedup(spark, sf_dir):
+    from tributary.llm.sentence_dedup import substring_report
+
+    return substring_report(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_packing, op6_simhash, op9_token_files, op10_substring_dedup)}
 ORACLES = {
     "op2_exact_dedup": r"""
         WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
