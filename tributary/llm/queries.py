@@ -30,6 +30,12 @@ def op3_packing(spark, sf_dir):
     return packed_report(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op8_warc(spark, sf_dir):
+    from tributary.llm.warc import warc_report
+
+    return warc_report(table(spark, sf_dir, "pages"))
+
+
 def op9_token_files(spark, sf_dir):
     from tributary.llm.token_files import token_file_report
 
@@ -42,7 +48,7 @@ def op10_substring_dedup(spark, sf_dir):
     return substring_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_packing, op6_simhash, op9_token_files, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_packing, op6_simhash, op8_warc, op9_token_files, op10_substring_dedup)}
 ORACLES = {
     "op2_exact_dedup": r"""
         WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
