@@ -30,6 +30,12 @@ def op3_packing(spark, sf_dir):
     return packed_report(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op7_embedding_dedup(spark, sf_dir):
+    from tributary.llm.embedding_dedup import near_vectors_report
+
+    return near_vectors_report(table(spark, sf_dir, "embeddings"))
+
+
 def op8_warc(spark, sf_dir):
     from tributary.llm.warc import warc_report
 
@@ -48,7 +54,7 @@ def op10_substring_dedup(spark, sf_dir):
     return substring_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_packing, op6_simhash, op8_warc, op9_token_files, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_packing, op6_simhash, op7_embedding_dedup, op8_warc, op9_token_files, op10_substring_dedup)}
 ORACLES = {
     "op2_exact_dedup": r"""
         WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
@@ -56,4 +62,22 @@ ORACLES = {
                doc_id = min(doc_id) OVER w AS kept, sha256(t) AS text_sha256
         FROM n WINDOW w AS (PARTITION BY t)
     """,
+    "op7_embedding_dedup": """
+        WITH RECURSIVE v AS (
+          SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+          WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ),
+        u AS (SELECT vec_id, label, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS norm FROM v),
+        links AS (
+          SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+          WHERE a.norm > 0 AND b.norm > 0 AND list_inner_product(a.e, b.e) / (a.norm * b.norm) >= 0.98
+        ),
+        reach AS (
+          SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+        ),
+        low AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+        n AS (SELECT a, count(*) AS n_links FROM links GROUP BY a)
+        SELECT e.vec_id, coalesce(n.n_links, 0) AS n_links, low.component_id, e.vec_id = low.component_id AS kept
+        FROM embeddings e JOIN low ON low.a = e.vec_id LEFT JOIN n ON n.a = e.vec_id
+    """,
 }
