@@ -18,6 +18,14 @@ def op2_exact_dedup(spark, sf_dir):
     return exact_dedup_report(table(spark, sf_dir, "documents"))
 
 
+def op5_bpe(spark, sf_dir):
+    import public_tokenizers
+
+    from tributary.llm.bpe_sql import bpe_report
+
+    return bpe_report(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op6_simhash(spark, sf_dir):
     from tributary.llm.simhash import near_dedup_report
 
@@ -54,7 +62,7 @@ def op10_substring_dedup(spark, sf_dir):
     return substring_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_packing, op6_simhash, op7_embedding_dedup, op8_warc, op9_token_files, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_packing, op5_bpe, op6_simhash, op7_embedding_dedup, op8_warc, op9_token_files, op10_substring_dedup)}
 ORACLES = {
     "op2_exact_dedup": r"""
         WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
