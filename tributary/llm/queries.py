@@ -12,6 +12,12 @@ def tokenizer_path(name):
     return public_tokenizers.path(name)
 
 
+def op1_toxicity(spark, sf_dir):
+    from tributary.llm.toxicity import toxicity_report
+
+    return toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_exact_dedup(spark, sf_dir):
     from tributary.llm.exact_dedup import exact_dedup_report
 
@@ -62,7 +68,7 @@ def op10_substring_dedup(spark, sf_dir):
     return substring_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_packing, op5_bpe, op6_simhash, op7_embedding_dedup, op8_warc, op9_token_files, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op3_packing, op5_bpe, op6_simhash, op7_embedding_dedup, op8_warc, op9_token_files, op10_substring_dedup)}
 ORACLES = {
     "op2_exact_dedup": r"""
         WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
