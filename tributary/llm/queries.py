@@ -24,6 +24,12 @@ def op2_exact_dedup(spark, sf_dir):
     return exact_dedup_report(table(spark, sf_dir, "documents"))
 
 
+def op4_html_text(spark, sf_dir):
+    from tributary.llm.html_text import extract_report
+
+    return extract_report(table(spark, sf_dir, "pages"))
+
+
 def op5_bpe(spark, sf_dir):
     import public_tokenizers
 
@@ -68,7 +74,7 @@ def op10_substring_dedup(spark, sf_dir):
     return substring_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op3_packing, op5_bpe, op6_simhash, op7_embedding_dedup, op8_warc, op9_token_files, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op3_packing, op4_html_text, op5_bpe, op6_simhash, op7_embedding_dedup, op8_warc, op9_token_files, op10_substring_dedup)}
 ORACLES = {
     "op2_exact_dedup": r"""
         WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
