@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -201,10 +202,10 @@ def _decoded(tokens: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(len(batch)):
-                out = [(d, s, tokens[r].tobytes()) for d, s, r in read_blocks(memoryview(batch.column(0)[i].as_buffer()).cast("B"))]
-                for k in range(0, len(out), 1000):
-                    part = out[k : k + 1000]
-                    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in part], pa.int64()), pa.array([x[1] for x in part], pa.int64()), pa.array([x[2] for x in part], pa.binary())], ["id", "start", "ids"])
+                rows = ((d, s, tokens[r].tobytes()) for d, s, r in read_blocks(memoryview(batch.column(0)[i].as_buffer()).cast("B")))
+                while part := list(islice(rows, 500)):
+                    ids, starts, data = zip(*part, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(data, pa.binary())], ["id", "start", "ids"])
 
     return run
 

@@ -10,8 +10,8 @@ from the library's own go to it whole.
 
 from __future__ import annotations
 
-import re
 import unicodedata
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -25,8 +25,8 @@ LONGEST_KEPT = 60
 #: Words given to the library in one string.
 AT_ONCE = 2_000
 
-#: Letters and then marks: two words to both vocabularies, whatever stands around them.
-_LETTERS = re.compile(r"([^\W\d_]+)([.,;:!?]{0,3})")
+#: Marks after a word of letters, up to three: a word of their own to both vocabularies.
+_MARKS = ".,;:!?"
 #: The printable characters that byte-level vocabularies write for bytes.
 _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTES = {b: chr(b) for b in _PRINTED} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(_PRINTED)))}
@@ -35,6 +35,22 @@ _BYTES = {b: chr(b) for b in _PRINTED} | {b: chr(256 + i) for i, b in enumerate(
 _WHOLE = r"[\x09\x0b-\x0d\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]|  | \n|\n |\n\n|^[ \n]|[ \n]$|^$"
 
 
+def split_units(texts: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """Units of byte-level texts that no word spans (a list array), and which texts must go whole.
+
+    Of "a b\\nc": "\\ra" at the start, "b" after a space, "\\nc" after a line's end.
+    """
+    whole = pc.match_substring_regex(texts, _WHOLE)
+    safe = pc.replace_substring(pc.if_else(whole, pa.scalar("", pa.large_string()), texts), "\n", " \n")
+    marked = pc.binary_join_element_wise(pa.scalar("\r", pa.large_string()), safe, pa.scalar("", pa.large_string()))
+    return pc.split_pattern(marked, " "), whole
+
+
+def unit_text(unit: str) -> str:
+    """The characters that a unit stands for."""
+    return unit[1:] if unit[:1] == "\r" else unit if unit[:1] == "\n" else " " + unit
+
+
 class WordIds:
     """ids(texts) -> unsigned 32-bit ids of each text in one array, and where each text's ids begin."""
 
@@ -49,6 +65,8 @@ class WordIds:
         self.mark = "\n" if byte_level else next(c for c in "§~^|" if len(self._encode(c)) == 1)
         (self.mark_id,) = self._encode(self.mark)
         self.model = self.library.model
+        #: The ids of a line's end, which a unit may begin with.
+        self.line = self._encode("\n").tobytes()
         self.known: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {}
 
@@ -61,57 +79,53 @@ class WordIds:
             for c in "\t\n\x0b\x0c\r":
                 texts = pc.replace_substring(texts, c, " ")
             return pc.split_pattern(pc.ascii_lower(texts), " "), pa.array(np.zeros(len(texts), bool))
-        whole = pc.match_substring_regex(texts, _WHOLE)
-        # Of "a b\nc": "\ra" at the start, "b" after a space, "\nc" after a line's end.
-        safe = pc.replace_substring(pc.if_else(whole, pa.scalar("", pa.large_string()), texts), "\n", " \n")
-        marked = pc.binary_join_element_wise(pa.scalar("\r", pa.large_string()), safe, pa.scalar("", pa.large_string()))
-        return pc.split_pattern(marked, " "), whole
-
-    def _plain(self, unit: str) -> str:
-        """The unit's text, but for a line's end before it."""
-        if not self.byte_level:
-            return unit
-        return unit[1:] if unit[:1] in ("\r", "\n") else " " + unit
-
-    def _letters(self, plain: str) -> bytes | None:
-        """Ids of a word of letters, with or without marks after it, by the model alone; None: not such a word."""
-        lead = plain[:1] == " "
-        m = _LETTERS.fullmatch(plain, lead)
-        if not m or not m[1].isalpha():
-            return None
-        word = m[1]
-        if not word.isascii():
-            if not self.byte_level and (word != word.lower() or not unicodedata.is_normalized("NFC", word)):
-                return None
-            word = "".join([_BYTES[b] for b in word.encode()])
-        ids = [t.id for t in self.model.tokenize("Ġ" + word if lead else word)]
-        out = np.array(ids, "<u4").tobytes()
-        if m[2]:
-            if m[2] not in self.marks:
-                self.marks[m[2]] = self._encode(m[2]).tobytes()
-            out += self.marks[m[2]]
+        return split_units(texts)
+
+    def _learn(self, units: list[str]) -> list[bytes]:
+        """Ids of each unit. Words of letters, with or without marks, go to the model one by one; others together."""
+        byte_level, tokenize, marks = self.byte_level, self.model.tokenize, self.marks
+        out: list = []
+        others: list[tuple[int, str]] = []
+        for u in units:
+            line = byte_level and u[:1] == "\n"
+            body = u[1:] if line or byte_level and u[:1] == "\r" else u
+            word = core = body.rstrip(_MARKS)
+            if not core.isalpha() or len(body) - len(core) > 3:
+                others.append((len(out), u))
+                out.append(b"")
+                continue
+            if not core.isascii():
+                if not byte_level and (core != core.lower() or not unicodedata.is_normalized("NFC", core)):
+                    others.append((len(out), u))
+                    out.append(b"")
+                    continue
+                word = "".join([_BYTES[b] for b in core.encode()])
+            blob = array("I", [t.id for t in tokenize("Ġ" + word if byte_level and body is u else word)]).tobytes()
+            if len(core) < len(body):
+                after = body[len(core) :]
+                if after not in marks:
+                    marks[after] = self._encode(after).tobytes()
+                blob += marks[after]
+            out.append(self.line + blob if line else blob)
+        for i in range(0, len(others), AT_ONCE):
+            self._together(others[i : i + AT_ONCE], out)
         return out
 
-    def _learn(self, units: list[str]) -> None:
-        lead = self._encode("\n").tobytes() if self.byte_level else b""
-        joint = "\n" if self.byte_level else f" {self.mark} "
-        for i in range(0, len(units), AT_ONCE):
-            part = units[i : i + AT_ONCE]
-            plain = [self._plain(u) for u in part]
-            quick = [self._letters(p) for p in plain]
-            usable = [q is None and bool(p) and self.mark not in p for p, q in zip(plain, quick, strict=True)]
-            together = [p for p, ok in zip(plain, usable, strict=True) if ok]
-            words = iter(())
-            if together:
-                ids = self._encode(joint.join(together))
-                ends = [*np.flatnonzero(ids == self.mark_id).tolist(), len(ids)]
-                if len(ends) != len(together):
-                    raise AssertionError("the separator is not one id of its own")
-                data = ids.tobytes()
-                words = iter([data[4 * (a + 1) : 4 * b] for a, b in zip([-1, *ends], ends, strict=False)])
-            for u, p, q, ok in zip(part, plain, quick, usable, strict=True):
-                own = q if q is not None else next(words) if ok else self._encode(p).tobytes()
-                self.known[u] = lead + own if lead and u[:1] == "\n" else own
+    def _together(self, part: list[tuple[int, str]], out: list[bytes]) -> None:
+        plain = [u[1:] if self.byte_level and u[:1] in ("\r", "\n") else " " + u if self.byte_level else u for _, u in part]
+        usable = [bool(p) and self.mark not in p for p in plain]
+        together = [p for p, ok in zip(plain, usable, strict=True) if ok]
+        words = iter(())
+        if together:
+            ids = self._encode(("\n" if self.byte_level else f" {self.mark} ").join(together))
+            ends = [*np.flatnonzero(ids == self.mark_id).tolist(), len(ids)]
+            if len(ends) != len(together):
+                raise AssertionError("the separator is not one id of its own")
+            data = ids.tobytes()
+            words = iter([data[4 * (a + 1) : 4 * b] for a, b in zip([-1, *ends], ends, strict=False)])
+        for (at, u), p, ok in zip(part, plain, usable, strict=True):
+            own = next(words) if ok else self._encode(p).tobytes()
+            out[at] = self.line + own if self.byte_level and u[:1] == "\n" else own
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
@@ -120,12 +134,15 @@ class WordIds:
         codes, distinct = words.indices.to_numpy(zero_copy_only=False), words.dictionary.to_pylist()
         if len(self.known) > KEPT_WORDS:
             self.known = {}
-        new = [u for u in distinct if u not in self.known]
-        self._learn(new)
-        blobs = [self.known[u] for u in distinct]
-        for u in new:
-            if len(u) > LONGEST_KEPT:
-                del self.known[u]
+        known = self.known
+        blobs = list(map(known.get, distinct))
+        missing = [i for i, x in enumerate(blobs) if x is None]
+        if missing:
+            new = [distinct[i] for i in missing]
+            for i, u, x in zip(missing, new, self._learn(new), strict=True):
+                blobs[i] = x
+                if len(u) <= LONGEST_KEPT:
+                    known[u] = x
         stock = np.frombuffer(b"".join(blobs), "<u4")
         n_ids = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
         at = np.concatenate([[0], np.cumsum(n_ids)])[:-1] if len(blobs) else n_ids
