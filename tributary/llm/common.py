@@ -55,6 +55,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tributary_path = path
+    spark.sparkContext.__dict__.setdefault("_tributary_tables", []).append(out)
     return out
 
 
@@ -66,6 +67,13 @@ def discard(df: DataFrame | None) -> None:
         jvm = spark._jvm
         place = jvm.org.apache.hadoop.fs.Path(path)
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        df._tributary_path = None
+
+
+def discard_all(spark: SparkSession) -> None:
+    """Delete every table that :func:`stored` wrote: for callers that have written what they read from them."""
+    for df in spark.sparkContext.__dict__.pop("_tributary_tables", []):
+        discard(df)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

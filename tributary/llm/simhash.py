@@ -208,3 +208,184 @@ def near_dedup_report(docs: DataFrame) -> DataFrame:
     """The contract's columns, one row per document."""
     c = near_classes(docs)
     return c.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+# Near copies by a similarity of shingle sets: too many bits differ for every pair to share bit blocks, so wide
+# fingerprints give many keys, and the shingle sets themselves decide.
+
+#: 64-bit words of a wide fingerprint, keys drawn from its bits, and bits of a key (more rows want longer keys).
+WIDE, KEYS, KEY_BITS = 8, 64, 16
+#: Differing bits of the first word up to which a pair is looked at: about three deviations beyond what 0.8 gives.
+RADIUS = 18
+#: Rows of a key that each row is compared with, beside the key's first.
+NEIGHBOURS = 32
+
+_MIX = np.random.default_rng(21).integers(0, 2**63, WIDE, np.uint64) * np.uint64(2) + np.uint64(1)
+_CHOSEN = np.concatenate([np.random.default_rng([22, i]).permutation(64 * WIDE) for i in range(KEYS * KEY_BITS // (64 * WIDE))]).reshape(KEYS, KEY_BITS)
+
+
+def shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    """Distinct XXH64 of the lower-cased word shingles, sorted; a text of fewer words is one shingle, one of none has none."""
+    tokens = (text or "").encode().translate(_LOWER).split()
+    if not tokens:
+        return np.zeros(0, np.uint64)
+    line = b" ".join(tokens)
+    ends = np.cumsum([len(t) + 1 for t in tokens]) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    digest, n = xxhash.xxh64_intdigest, max(1, len(tokens) - words + 1)
+    spans = zip(starts[:n].tolist(), ends[min(words, len(tokens)) - 1 :].tolist(), strict=True)
+    return np.unique(np.array([digest(line[a:b], SEED) for a, b in spans], np.uint64))
+
+
+def wide_simhash(hashes: np.ndarray) -> np.ndarray:
+    """``WIDE`` words: bit b of a word is set where over half of the (mixed) hashes have it."""
+    counts = np.zeros(64 * WIDE, np.int64)
+    for i in range(0, len(hashes), 255 * 32):
+        part = hashes[i : i + 255 * 32]
+        mixed = (part[:, None] ^ (part[:, None] >> np.uint64(29))) * _MIX[None, :]
+        mixed ^= mixed >> np.uint64(32)
+        bits = np.unpackbits(mixed.view(np.uint8).reshape(len(part), -1), axis=1, bitorder="little")
+        for j in range(0, len(part), 255):  # sums of 255 bits fit a byte
+            counts += bits[j : j + 255].sum(axis=0, dtype=np.uint8)
+    return np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")
+
+
+def _wide_keys(words: int):
+    """(id, text) -> a row (key, fp, id) for each key of a text that has a shingle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = (1 << np.arange(KEY_BITS)).astype(np.int64)
+        for batch in batches:
+            sets = [shingle_hashes(t, words) for t in batch.column(1).to_pylist()]
+            used = np.flatnonzero([len(s) > 0 for s in sets])
+            if not len(used):
+                continue
+            wide = np.stack([wide_simhash(sets[i]) for i in used])
+            bits = np.unpackbits(wide.view(np.uint8).reshape(len(used), -1), axis=1, bitorder="little")
+            keys = (bits[:, _CHOSEN] @ weights) | (np.arange(KEYS, dtype=np.int64) << KEY_BITS)
+            owner = batch.column(0).take(pa.array(np.repeat(used, KEYS)))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(np.repeat(wide[:, 0].view(np.int64), KEYS)), owner], ["key", "fp", "id"])
+
+    return run
+
+
+def _candidates(radius: int):
+    """Rows (key, fp, id) in order of key and id: for each row its key's first row, if close, or else the closest of the rows before it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tail = [np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)]
+        found: list[np.ndarray] = []
+        first_key, first = None, None
+        for batch in batches:
+            new = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+            key, fp, node = (np.concatenate([t, n]) for t, n in zip(tail, (new[0], new[1].view(np.uint64), new[2]), strict=True))
+            old = len(tail[0])
+            if old == len(key):
+                continue
+            table = np.bitwise_count(fp[:, None] ^ _PIVOTS[None, :]).astype(np.int16)
+            heads = np.concatenate([[True], key[1:] != key[:-1]])
+            head_at = np.maximum.accumulate(np.where(heads, np.arange(len(key)), 0))
+            head_fp, head_node, head_table = fp[head_at], node[head_at], table[head_at]
+            if first_key is not None:  # the key's first row may lie batches before
+                same = key == first_key
+                head_fp[same], head_node[same] = first
+                head_table[same] = np.bitwise_count(np.uint64(first[0]) ^ _PIVOTS).astype(np.int16)
+            best = np.full(len(key), 65, np.int64)
+            partner = np.zeros(len(key), np.int64)
+            for k in range(1, min(NEIGHBOURS, len(key) - 1) + 1):
+                at = np.flatnonzero(key[k:] == key[:-k]) + k
+                if not len(at):
+                    break
+                at = at[np.abs(table[at] - table[at - k]).max(axis=1, initial=0) <= radius]
+                far = np.bitwise_count(fp[at] ^ fp[at - k]).astype(np.int64)
+                nearer = far < best[at]
+                best[at[nearer]], partner[at[nearer]] = far[nearer], node[at[nearer] - k]
+            lead = (np.abs(table - head_table).max(axis=1) <= radius) & (np.bitwise_count(fp ^ head_fp) <= radius) & (head_node != node)
+            best[lead], partner[lead] = 0, head_node[lead]
+            at = np.flatnonzero((best <= radius) & (partner != node))
+            at = at[at >= old]
+            if len(at):
+                found.append(np.stack([np.minimum(partner[at], node[at]), np.maximum(partner[at], node[at])], axis=1))
+            if key[-1] != first_key:
+                first_key, first = key[-1], (head_fp[-1], head_node[-1])
+            keep = np.flatnonzero(key == key[-1])[-NEIGHBOURS:]
+            tail = [key[keep], fp[keep], node[keep]]
+            if sum(map(len, found)) > 1 << 20:
+                found = [np.unique(np.concatenate(found), axis=0)]
+        if found:
+            pairs = np.unique(np.concatenate(found), axis=0)
+            for i in range(0, len(pairs), 10_000):
+                part = pairs[i : i + 10_000]
+                yield pa.RecordBatch.from_arrays([pa.array(part[:, 0].copy()), pa.array(part[:, 1].copy())], ["a", "b"])
+
+    return run
+
+
+def _set_rows(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique((shingle_hashes(t, words) >> np.uint64(32)).astype("<u4")).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["sid", "shingles"])
+
+    return run
+
+
+def _verified(similarity: float):
+    """(a, b, set of a, set of b) -> the pairs of enough similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                x, y = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
+                if min(len(x), len(y)) < similarity * max(len(x), len(y)):
+                    good.append(False)
+                    continue
+                both = np.sort(np.concatenate([x, y]))
+                common = int((both[1:] == both[:-1]).sum())
+                good.append(common >= similarity * (len(x) + len(y) - common))
+            keep = pa.array(good, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(keep)
+
+    return run
+
+
+def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(a, b): verified links that connect the near copies; a pair is one of documents whose shingle sets are as similar as asked.
+
+    Each document proposes one partner per key. One proposal of each document is
+    verified first; of the others only those that would join two components.
+    """
+    prepare(docs.sparkSession)
+    rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    keys = rows.mapInArrow(_wide_keys(words), "key long, fp long, id long")
+    pairs = stored(keys.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_candidates(RADIUS), "a long, b long").groupBy("a", "b").agg(F.count(F.lit(1)).alias("times")), "proposals")
+    nodes = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "nid")
+    sets = stored(rows.join(nodes, F.col("id") == F.col("nid")).select("id", "text").mapInArrow(_set_rows(words), "sid long, shingles binary"), "sets")
+
+    def verified(some: DataFrame) -> DataFrame:
+        left = some.join(sets, F.col("a") == F.col("sid")).select("a", "b", F.col("shingles").alias("x"))
+        both = left.join(sets, F.col("b") == F.col("sid")).select("a", "b", "x", F.col("shingles").alias("y"))
+        return both.mapInArrow(_verified(similarity), "a long, b long")
+
+    best = pairs.groupBy("b").agg(F.max_by("a", F.struct("times", -F.col("a"))).alias("a")).select("a", "b")
+    sure = stored(verified(best), "links")
+    cc = connected_components(sure)
+    other = pairs.select("a", "b").join(best, ["a", "b"], "left_anti")
+    for side in ("a", "b"):
+        c = cc.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
+        other = other.join(c, side, "left").withColumn(f"c{side}", F.coalesce(f"c{side}", side))
+    more = stored(verified(stored(other.filter("ca <> cb").select("a", "b"), "open")), "links")
+    return sure.unionByName(more)
+
+
+def similar_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` that stay: of documents connected by similar shingle sets the one with the smallest id.
+
+    Texts without a word, null texts and rows without an id are near copies of
+    nothing and stay; rows that repeat an id are one document and stay or go together.
+    """
+    cc = connected_components(similar_links(docs, id_col, text_col, words, similarity))
+    gone = cc.filter("node <> component").select(F.col("node").alias("gone_id")).distinct()
+    rows = docs.select(F.col(id_col).alias("key"), F.struct(*docs.columns).alias("row"))
+    return rows.join(gone, F.col("key") == F.col("gone_id"), "left_anti").select("row.*")
