@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -33,6 +35,26 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_held: list = []
+
+
+def claim(owner: str, build):
+    """What a worker keeps between tasks for one owner at a time: another owner's is given back first."""
+    if not _held or _held[0] != owner:
+        _held.clear()
+        give_back()
+        _held.extend([owner, build()])
+    return _held[1]
+
+
+def give_back() -> None:
+    """Return freed memory to the system, where the C library can."""
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def scratch(spark: SparkSession) -> str:
     """The shared folder: ``spark.checkpoint.dir``, or one of our own where that is unset (local runs)."""
     base = spark.conf.get("spark.checkpoint.dir", None)

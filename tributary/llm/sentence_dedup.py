@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tributary.llm.common import prepare, stored
+from tributary.llm.common import claim, prepare, stored
 
 #: A run has at least this many pieces and words.
 MIN_PIECES, MIN_WORDS = 2, 20
@@ -105,6 +105,7 @@ def run_hashes(hashes: list[int], a: np.ndarray, b: np.ndarray) -> tuple[np.ndar
 
 def _span_rows(min_pieces: int, min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("sentence_dedup", dict)
         for batch in batches:
             cols: list[list[np.ndarray]] = [[] for _ in range(6)]
             for row, text in enumerate(batch.column(1).to_pylist()):

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tributary.llm.common import prepare, stored
+from tributary.llm.common import claim, prepare, stored
 from tributary.llm.components import connected_components
 
 SEED = 42
@@ -61,6 +61,7 @@ def simhash(text: str | None, words: int = 3) -> int:
 
 def _fingerprint_rows(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("simhash", dict)
         for batch in batches:
             marks = np.array([simhash(x, words) for x in batch.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks.view(np.int64))], ["id", "fp"])
@@ -254,6 +255,7 @@ def _wide_keys(words: int):
     """(id, text) -> a row (key, fp, id) for each key of a text that has a shingle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("simhash", dict)
         weights = (1 << np.arange(KEY_BITS)).astype(np.int64)
         for batch in batches:
             sets = [shingle_hashes(t, words) for t in batch.column(1).to_pylist()]
@@ -323,6 +325,7 @@ def _candidates(radius: int):
 
 def _set_rows(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("simhash", dict)
         for batch in batches:
             sets = [np.unique((shingle_hashes(t, words) >> np.uint64(32)).astype("<u4")).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["sid", "shingles"])

@@ -12,16 +12,15 @@ from __future__ import annotations
 
 import unicodedata
 from array import array
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Words whose ids a worker keeps; the table starts anew when full.
-KEPT_WORDS = 600_000
-#: Longer words are encoded each time, so the table's size is bounded.
-LONGEST_KEPT = 60
+from tributary.llm.common import claim
+
+#: Bytes of words and their ids that a worker keeps; the table starts anew when full.
+KEPT_BYTES = 40 << 20
 #: Words given to the library in one string.
 AT_ONCE = 2_000
 
@@ -51,6 +50,43 @@ def unit_text(unit: str) -> str:
     return unit[1:] if unit[:1] == "\r" else unit if unit[:1] == "\n" else " " + unit
 
 
+class KnownWords:
+    """Words and what was made of each (one or more byte strings), as Arrow columns: compact, and looked up a batch at a time."""
+
+    def __init__(self, values: int = 1, limit: int = KEPT_BYTES):
+        self.limit, self.values = limit, values
+        self._empty()
+
+    def _empty(self) -> None:
+        self.words = pa.array([], pa.large_string())
+        self.made = [pa.array([], pa.large_binary()) for _ in range(self.values)]
+
+    def find(self, distinct: pa.Array, make) -> tuple[np.ndarray, list[pa.Array]]:
+        """For each of the distinct words its row in the columns returned; ``make`` gives the columns of new words."""
+        if self.words.nbytes + sum(m.nbytes for m in self.made) > self.limit:
+            self._empty()
+        at = pc.index_in(distinct, value_set=self.words)
+        new = np.array(at.is_null())
+        index = pc.fill_null(at, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        if new.any():
+            words = distinct.filter(pa.array(new))
+            columns = make(words.to_pylist())
+            index[new] = len(self.words) + np.arange(len(words))
+            self.made = [pa.concat_arrays([old, pa.array(c, pa.large_binary())]) for old, c in zip(self.made, columns, strict=True)]
+            self.words = pa.concat_arrays([self.words, words])
+        return index, self.made
+
+
+def in_order(made: pa.Array, rows: np.ndarray) -> tuple[memoryview, np.ndarray]:
+    """The values of some rows one after the other, and where each begins (one more than there are rows)."""
+    taken = made.take(pa.array(rows))
+    if not len(taken):
+        return memoryview(b""), np.zeros(1, np.int64)
+    buffers = taken.buffers()
+    offsets = np.frombuffer(buffers[1], np.int64, len(taken) + 1, 8 * taken.offset)
+    return memoryview(buffers[2] if buffers[2] is not None else b"").cast("B"), offsets
+
+
 class WordIds:
     """ids(texts) -> unsigned 32-bit ids of each text in one array, and where each text's ids begin."""
 
@@ -67,7 +103,7 @@ class WordIds:
         self.model = self.library.model
         #: The ids of a line's end, which a unit may begin with.
         self.line = self._encode("\n").tobytes()
-        self.known: dict[str, bytes] = {}
+        self.known = KnownWords()
         self.marks: dict[str, bytes] = {}
 
     def _encode(self, text: str) -> np.ndarray:
@@ -131,26 +167,10 @@ class WordIds:
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         lists, whole = self._units(texts)
         words = lists.flatten().dictionary_encode()
-        codes, distinct = words.indices.to_numpy(zero_copy_only=False), words.dictionary.to_pylist()
-        if len(self.known) > KEPT_WORDS:
-            self.known = {}
-        known = self.known
-        blobs = list(map(known.get, distinct))
-        missing = [i for i, x in enumerate(blobs) if x is None]
-        if missing:
-            new = [distinct[i] for i in missing]
-            for i, u, x in zip(missing, new, self._learn(new), strict=True):
-                blobs[i] = x
-                if len(u) <= LONGEST_KEPT:
-                    known[u] = x
-        stock = np.frombuffer(b"".join(blobs), "<u4")
-        n_ids = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
-        at = np.concatenate([[0], np.cumsum(n_ids)])[:-1] if len(blobs) else n_ids
-        each = n_ids[codes] if len(codes) else np.zeros(0, np.int64)
-        ends = np.cumsum(each)
-        ids = stock[np.repeat(at[codes] - (ends - each), each) + np.arange(ends[-1])] if len(codes) and ends[-1] else np.zeros(0, "<u4")
-        word_ends = np.concatenate([[0], ends])
-        starts = word_ends[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+        index, (made,) = self.known.find(words.dictionary, lambda new: [self._learn(new)])
+        data, offsets = in_order(made, index[words.indices.to_numpy(zero_copy_only=False)])
+        ids = np.frombuffer(data, "<u4", offsets[-1] // 4) if offsets[-1] else np.zeros(0, "<u4")
+        starts = offsets[lists.offsets.to_numpy() - lists.offsets[0].as_py()] // 4
         rest = np.flatnonzero(whole.to_numpy(zero_copy_only=False))
         if not len(rest):
             return ids, starts
@@ -159,6 +179,6 @@ class WordIds:
         return np.concatenate(pieces), np.concatenate([[0], np.cumsum([len(p) for p in pieces])])
 
 
-@lru_cache(4)
 def word_ids(path: str, byte_level: bool) -> WordIds:
-    return WordIds(path, byte_level)
+    """The worker's encoder of a vocabulary, with the words that it knows."""
+    return claim(f"words of {path}", lambda: WordIds(path, byte_level))
