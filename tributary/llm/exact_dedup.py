@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tributary.llm.common import prepare, squeezed, stored
+from tributary.llm.common import claim, prepare, squeezed, stored
 
 PRIMES = (2147483647, 2147483629)
 BASE = 1_000_003
@@ -71,6 +71,7 @@ def fingerprint(data: bytes) -> tuple[int, int, int]:
 
 def _hash_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Replaces the last column (binary) by h1, h2, bytes and the shifts s1, s2 that a text before it needs."""
+    claim("exact_dedup", dict)
     for batch in batches:
         marks = [fingerprint(x) for x in batch.column(batch.num_columns - 1).to_pylist()]
         marks = [(*m, *(pow(BASE, m[2], p) for p in PRIMES)) for m in marks]
@@ -92,7 +93,8 @@ def fingerprints(texts: DataFrame) -> DataFrame:
     slices = F.greatest(F.lit(1), F.ceil(F.octet_length("data") / F.lit(SLICE)).cast("int"))
     sliced = (
         texts.filter(f"raw_bytes > {SLICE}")
-        .select("id", "sha", F.monotonically_increasing_id().alias("row"), F.explode(F.sequence(F.lit(0), slices - 1)).alias("slice"), "data")
+        .select("id", "sha", F.monotonically_increasing_id().alias("row"), "data")
+        .select("id", "sha", "row", F.explode(F.sequence(F.lit(0), slices - 1)).alias("slice"), "data")
         .select("id", "sha", "row", "slice", F.col("data").substr(F.col("slice") * SLICE + 1, F.lit(SLICE)).alias("data"))
         .repartition(F.col("row"), F.col("slice"))
         .mapInArrow(_hash_rows, f"id {kind}, sha string, row long, slice int, {marks}")
