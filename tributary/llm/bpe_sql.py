@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain
 from pathlib import Path
 
@@ -23,12 +22,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tributary.llm.common import prepare
-from tributary.llm.tokens import split_units, unit_text
+from tributary.llm.common import claim, prepare
+from tributary.llm.tokens import KnownWords, in_order, split_units, unit_text
 
 #: Words given to one recursive query; their bytes bound its memory.
-WORDS_AT_ONCE, BYTES_AT_ONCE = 50_000, 600_000
-KEPT_UNITS, KEPT_WORDS, LONGEST_KEPT = 250_000, 350_000, 60
+WORDS_AT_ONCE, BYTES_AT_ONCE = 40_000, 400_000
 
 #: Ordinary words: a word's tokens ride in one row and are opened to position rows in each step.
 ENCODE = """
@@ -100,12 +98,11 @@ class SqlBpe:
         left, right, rank = (pa.array(c, pa.int32()) for c in zip(*rows, strict=True))
         pair = pa.array([a * 1048576 + b for a, b, _ in rows], pa.int64())
         safe = pa.array([r not in unsafe for _, _, r in rows])
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "120MB", "temp_directory": ""})
         self._table("merges", l=left, r=right, rank=rank, safe=safe, pair=pair)
         self._table("vocabulary", tok=pa.array(list(self.ranks.values()), pa.int32()), hex=pa.array([t.hex() for t in self.ranks]))
         self.byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
-        self.units: dict[str, tuple[bytes, bytes]] = {}
-        self.words: dict[str, tuple[bytes, bytes]] = {}
+        self.units, self.words = KnownWords(2), KnownWords(2)
 
     def _table(self, name: str, **columns: pa.Array) -> None:
         self.db.register("given", pa.table(columns))
@@ -147,51 +144,41 @@ class SqlBpe:
             out += [bytes.fromhex(h) for h in self.db.sql(DECODE).to_arrow_table()["hex"].to_pylist()]
         return out
 
-    def coded(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
-        """(ids, decoded bytes) of each text; a text's words are the pattern's matches."""
+    def _made(self, words: list[str]) -> tuple[list[bytes], list[bytes]]:
+        ids = self.encode_words([w.encode() for w in words])
+        return ids, self.decode_words(ids)
+
+    def coded(self, texts: list[str]) -> tuple[list[bytes], list[bytes]]:
+        """Ids and decoded bytes of each text; a text's words are the pattern's matches."""
         split = list(map(self.words_of, texts))
-        if len(self.words) > KEPT_WORDS:
-            self.words = {}
-        known = self.words
-        new = [w for w in dict.fromkeys(chain.from_iterable(split)) if w not in known]
-        ids = self.encode_words([w.encode() for w in new])
-        known.update(zip(new, zip(ids, self.decode_words(ids), strict=True), strict=True))
-        out = []
-        for words in split:
-            if len(words) == 1:
-                out.append(known[words[0]])
-            else:
-                both = [known[w] for w in words]
-                out.append((b"".join([x for x, _ in both]), b"".join([y for _, y in both])))
-        for w in new:
-            if len(w) > LONGEST_KEPT:
-                del known[w]
-        return out
+        words = pa.array(list(chain.from_iterable(split)), pa.large_string()).dictionary_encode()
+        index, made = self.words.find(words.dictionary, self._made)
+        rows = index[words.indices.to_numpy(zero_copy_only=False)]
+        ends = np.cumsum([0, *map(len, split)])
+        return tuple(_slices(m, rows, ends) for m in made)
 
-    def batch(self, texts: pa.Array) -> tuple[list[memoryview], list[memoryview]]:
+    def batch(self, texts: pa.Array) -> tuple[list[bytes], list[bytes]]:
         """Ids and decoded bytes of each text."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         lists, whole = split_units(texts)
         units = lists.flatten().dictionary_encode()
-        names = units.dictionary.to_pylist()
-        if len(self.units) > KEPT_UNITS:
-            self.units = {}
-        known = self.units
-        found = list(map(known.get, names))
-        missing = [i for i, x in enumerate(found) if x is None]
-        for i, x in zip(missing, self.coded([unit_text(names[i]) for i in missing]) if missing else [], strict=True):
-            found[i] = x
-            if len(names[i]) <= LONGEST_KEPT:
-                known[names[i]] = x
-        codes = units.indices
+        index, made = self.units.find(units.dictionary, lambda new: self.coded([unit_text(u) for u in new]))
+        rows = index[units.indices.to_numpy(zero_copy_only=False)]
         starts = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-        ids, data = (_slices(pa.array([x[k] for x in found], pa.large_binary()).take(codes), starts) for k in (0, 1))
+        ids, data = (_slices(m, rows, starts) for m in made)
         rest = np.flatnonzero(whole.to_numpy(zero_copy_only=False)).tolist()
-        for i, (x, y) in zip(rest, self.coded([texts[i].as_py() for i in rest]) if rest else [], strict=True):
-            ids[i], data[i] = memoryview(x), memoryview(y)
+        for i, x, y in zip(rest, *(self.coded([texts[i].as_py() for i in rest]) if rest else ([], [])), strict=True):
+            ids[i], data[i] = x, y
         return ids, data
 
 
+def _slices(made: pa.Array, rows: np.ndarray, starts: np.ndarray) -> list[bytes]:
+    """The values of rows joined for each run of rows from one start to the next."""
+    data, offsets = in_order(made, rows)
+    at = offsets[starts].tolist()
+    return [bytes(data[a:b]) for a, b in zip(at, at[1:], strict=False)]  # an array made of views would keep them alive
+
+
 def _portions(items: list[int], sizes: list[int]) -> Iterator[list[int]]:
     part, total = [], 0
     for i, n in zip(items, sizes, strict=True):
@@ -204,18 +191,9 @@ def _portions(items: list[int], sizes: list[int]) -> Iterator[list[int]]:
         yield part
 
 
-def _slices(taken: pa.Array, starts: np.ndarray) -> list[memoryview]:
-    """The bytes of each run of values: values of an array lie one after the other in its buffer."""
-    buffers = taken.buffers()
-    offsets = np.frombuffer(buffers[1], np.int64, len(taken) + 1, 8 * taken.offset) if len(taken) else np.zeros(1, np.int64)
-    data = memoryview(buffers[2] if buffers[2] is not None else b"").cast("B")
-    at = offsets[starts].tolist()
-    return [data[a:b] for a, b in zip(at, at[1:], strict=False)]
-
-
-@lru_cache(2)
 def sql_bpe(path: str, pattern: str) -> SqlBpe:
-    return SqlBpe(path, pattern)
+    """The worker's database of a vocabulary, with the words that it knows."""
+    return claim(f"ranks of {path}", lambda: SqlBpe(path, pattern))
 
 
 def _coded_rows(path: str, pattern: str):
