@@ -8,6 +8,7 @@ once, and loops end on an empty frontier or at ``max_depth``, so cycles end too.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,21 +33,23 @@ def reversed_edges(edges: DataFrame) -> DataFrame:
     return edges.withColumnsRenamed({"from": "__to", "to": "__from"}).withColumnsRenamed({"__to": "to", "__from": "from"})
 
 
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
 def reach(edges: DataFrame, starts: DataFrame, max_depth: int = 100) -> DataFrame:
     """(root, node, depth): what each start reaches and in how few hops; the start itself is depth 0 and left out.
 
-    ``starts`` has one column; all starts move together, one job per level.
+    ``starts`` has one column; all starts move together, one written level per hop.
     """
-    e = edges.select(F.col("from").alias("node"), F.col("to").alias("next")).distinct()
-    seen = written(starts.select(F.col(starts.columns[0]).alias("root")).distinct().select("root", F.col("root").alias("node"), F.lit(0).alias("depth")), "seen")
-    front = seen
+    e = written(edges.select(F.col("from").alias("node"), F.col("to").alias("next")).distinct(), "edges")
+    levels = [written(starts.select(F.col(starts.columns[0]).alias("root")).distinct().select("root", F.col("root").alias("node"), F.lit(0).alias("depth")), "level")]
     for depth in range(1, max_depth + 1):
-        step = front.join(e, "node").select("root", F.col("next").alias("node")).distinct()
-        front = written(step.join(seen, ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)), "front")
-        if front.isEmpty():
+        step = levels[-1].join(e, "node").select("root", F.col("next").alias("node")).distinct()
+        levels.append(written(step.join(_union(levels), ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)), "level"))
+        if levels[-1].isEmpty():
             break
-        seen = written(seen.unionByName(front), "seen")
-    return seen.filter("depth > 0")
+    return _union(levels).filter("depth > 0")
 
 
 def downstream(edges: DataFrame, start: str, max_depth: int = 10) -> DataFrame:
@@ -54,18 +57,15 @@ def downstream(edges: DataFrame, start: str, max_depth: int = 10) -> DataFrame:
 
     Of several hops the lowest rank counts, then the smaller column and label.
     """
-    spark = edges.sparkSession
-    e = edges.select(F.col("from").alias("via"), F.col("to").alias("node"), "label", "rank")
-    seen = spark.createDataFrame([(start, 0, None, None)], "node string, depth int, via string, label string")
-    front = seen
+    e = written(edges.select(F.col("from").alias("via"), F.col("to").alias("node"), "label", "rank"), "edges")
+    levels = [edges.sparkSession.createDataFrame([(start, 0, None, None)], "node string, depth int, via string, label string")]
     for depth in range(1, max_depth + 1):
-        step = front.select(F.col("node").alias("via")).join(e, "via").join(seen.select("node"), "node", "left_anti")
+        step = levels[-1].select(F.col("node").alias("via")).join(e, "via").join(_union(levels).select("node"), "node", "left_anti")
         best = step.groupBy("node").agg(F.min(F.struct("rank", "via", "label")).alias("hop"))
-        front = written(best.select("node", F.lit(depth).alias("depth"), "hop.via", "hop.label"), "front")
-        if front.isEmpty():
+        levels.append(written(best.select("node", F.lit(depth).alias("depth"), "hop.via", "hop.label"), "level"))
+        if levels[-1].isEmpty():
             break
-        seen = written(seen.unionByName(front), "seen")
-    return seen.filter("depth > 0")
+    return _union(levels).filter("depth > 0")
 
 
 def more_below(edges: DataFrame, found: DataFrame, start: str, max_depth: int) -> bool:

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from tributary.functions import macros as M
 from tributary.functions import text as X
 from tributary.operators import linking, metrics, perturb, retrieval, validation
-from tributary.plans import gold, graph, lineage, models
+from tributary.plans import answers, citations, gold, graph, lineage, models
 from tributary.streaming import events as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -213,6 +213,25 @@ def graph_display_names(spark, sf_dir):
     return graph.display_names(e.select(F.col("from").alias("node")).union(e.select("to")).distinct())
 
 
+@query(f"WITH {_D}, {_I} SELECT 'line' AS level, count(*) AS n FROM (SELECT src, dst, kind FROM direct WHERE model <> 'fct_items_slim' UNION ALL SELECT src, dst, type FROM indirect) UNION ALL SELECT 'star', count(*) FROM direct WHERE model = 'fct_items_slim'".replace("WHERE model <> 'fct_items_slim'", "WHERE model NOT IN ('fct_items_slim', 'int_customer_history') OR dst = 'int_customer_history.previous_order_date'").replace("WHERE model = 'fct_items_slim'", "WHERE model = 'fct_items_slim' OR model = 'int_customer_history' AND dst <> 'int_customer_history.previous_order_date'"))
+def lineage_citations(spark, sf_dir):
+    """How precisely each edge is placed in its model's text."""
+    for t in models.SOURCES:
+        read(spark, sf_dir, t).createOrReplaceTempView(t)
+    found = lineage.project_lineage(spark, models.MODELS)
+    return citations.cited_edges(spark, found, models.MODELS).groupBy("level").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT * FROM (VALUES ('Where does dim_segments.segment come from?', 'trace', 9::BIGINT), ('How is fct_monthly.revenue computed?', 'computed', 1), ('What does stg_orders.priority affect?', 'impact', 1), ('Does part.p_brand affect stg_orders.status?', 'reach', 0), ('Where does no.such come from?', 'trace', 0)) AS v(question, intent, n_found)")
+def answer_questions(spark, sf_dir):
+    """Answers from the graph alone."""
+    direct, indirect, _ = corpus_lineage(spark, sf_dir)
+    direct, indirect = direct.drop("confidence").cache(), indirect.drop("confidence").cache()
+    asked = ("Where does dim_segments.segment come from?", "How is fct_monthly.revenue computed?", "What does stg_orders.priority affect?", "Does part.p_brand affect stg_orders.status?", "Where does no.such come from?")
+    rows = [(q, a["intent"], len(a["found"])) for q in asked for a in [answers.answer(q, direct, indirect)]]
+    return spark.createDataFrame(rows, "question string, intent string, n_found long")
+
+
 # Joins, sets, windows
 
 
