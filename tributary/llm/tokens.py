@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from tributary.llm.common import claim
 
 #: Bytes of words and their ids that a worker keeps; the table starts anew when full.
-KEPT_BYTES = 40 << 20
+KEPT_BYTES = 24 << 20
 #: Words given to the library in one string.
 AT_ONCE = 2_000
 
