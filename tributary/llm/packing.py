@@ -120,7 +120,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     slots = plan(totals, capacity)
     before = Window.partitionBy("len").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("len", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    ranked = dealt.withColumn("r", F.row_number().over(Window.partitionBy("len", "part").orderBy("at")) - 1).join(bases, ["len", "part"])
+    ranked = dealt.withColumn("r", F.row_number().over(Window.partitionBy("len", "part").orderBy("at")) - 1).join(bases.hint("merge"), ["len", "part"])
     schema = "slot_len long, first_rank long, n long, first_sequence long, slot_offset long"
     planned = spark.createDataFrame(slots, schema)
     rank = F.col("base") + F.col("r")

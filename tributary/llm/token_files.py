@@ -177,7 +177,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, id_col: str =
     order = ["shard", "id"]
     ids = (
         rows.mapInArrow(_tokenised(tokenizer, np.array(bounds, np.int64)), "shard int, id long, n long, ids binary")
-        .repartition(len(bounds) + 1, "shard")
+        .repartitionById(len(bounds) + 1, "shard")  # a task for each file
         .sortWithinPartitions(*order)
         .mapInArrow(_offsets, "shard int, id long, n long, ids binary, off long")
     )
