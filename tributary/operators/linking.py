@@ -89,3 +89,15 @@ def link_metrics(candidates: DataFrame, gold: DataFrame) -> DataFrame:
     none = gold.filter("column_id is null").join(first.select("mention").distinct().withColumn("any", F.lit(1)), "mention", "left")
     a = hit.agg(F.avg(F.coalesce("t1", F.lit(0))).alias("top1"), F.avg(F.coalesce("t3", F.lit(0))).alias("top3"))
     return a.crossJoin(none.agg(F.avg(F.col("any").isNull().cast("double")).alias("no_match")))  # one row each
+
+
+def qualified(mentions: DataFrame, columns: DataFrame) -> DataFrame:
+    """(mention, column_id): "<column> in|of|from <model>" in words; the right part must be one model's name, the left one of its columns.
+
+    Both sides are equality joins on full forms of the words.
+    """
+    key = lambda c: F.array_join(F.transform(name_tokens(c), rewritten), " ")
+    said = mentions.select("mention", F.explode(F.array(F.lit(" in "), F.lit(" of "), F.lit(" from "))).alias("q")).filter(F.lower("mention").contains(F.col("q")))
+    said = said.select("mention", key(F.expr("split_part(lower(mention), q, 1)")).alias("left"), key(F.regexp_replace(F.expr("split_part(lower(mention), q, 2)"), r"\b(the|a|an)\b", "")).alias("right"))
+    have = columns.select("column_id", key(F.col("name")).alias("left"), key(F.element_at(F.split("column_id", r"\."), -2)).alias("right"))
+    return said.join(have, ["left", "right"]).select("mention", "column_id").distinct()

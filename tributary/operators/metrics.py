@@ -89,3 +89,33 @@ def breakdown(df: DataFrame, metric: str, dimensions: list[str]) -> DataFrame:
     """(dimension, value, n, mean) of a nullable metric over each dimension, and over all, in one pass."""
     cells = F.array(F.struct(F.lit("all").alias("dimension"), F.lit("all").alias("value")), *[F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("value")) for d in dimensions])
     return df.select(F.col(metric).alias("m"), F.explode(cells).alias("c")).groupBy("c.dimension", "c.value").agg(F.count("m").alias("n"), F.round(F.avg("m"), 6).alias("mean"))
+
+
+def tolerant_prf(pred: Column, gold: Column, closure: Column) -> tuple[Column, Column, Column]:
+    """As :func:`prf`, but a prediction within the closure of the gold is not wrong."""
+    p, g = F.array_distinct(pred), F.array_distinct(gold)
+    none, one = (F.size(p) == 0) & (F.size(g) == 0), (F.size(p) == 0) | (F.size(g) == 0)
+    right = F.size(F.array_intersect(p, F.array_union(closure, g))).cast("double") / F.size(p)
+    found = F.size(F.array_intersect(p, g)).cast("double") / F.size(g)
+    cell = lambda c: F.when(none, 1.0).when(one, 0.0).otherwise(c)
+    precision, recall = cell(right), cell(found)
+    total = precision + recall
+    return precision, recall, F.when(total > 0, 2 * precision * recall / total).otherwise(0.0)
+
+
+def depth_bucket(depth: Column) -> Column:
+    """n/a, seed, 1, 2-3, 4-5 or 6+."""
+    return F.when(depth.isNull(), "n/a").when(depth == 0, "seed").when(depth == 1, "1").when(depth <= 3, "2-3").when(depth <= 5, "4-5").otherwise("6+")
+
+
+def latency(df: DataFrame, value: str, cached: str) -> DataFrame:
+    """(n, p50, p95) over rows that no cache answered."""
+    fresh = df.filter(~F.coalesce(F.col(cached), F.lit(False)))
+    cut = lambda q: F.expr(f"percentile_disc({q}) within group (order by {value})")
+    return fresh.agg(F.count(value).alias("n"), cut(0.5).alias("p50"), cut(0.95).alias("p95"))
+
+
+def distribution(df: DataFrame, column: str) -> DataFrame:
+    """(value, n, share) of a column, nulls too."""
+    n = df.groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    return n.crossJoin(df.agg(F.count(F.lit(1)).alias("total"))).select("value", "n", F.round(F.col("n") / F.col("total"), 6).alias("share"))  # one row

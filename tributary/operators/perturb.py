@@ -137,3 +137,36 @@ def classify(seen: DataFrame, expected: DataFrame, keys: list[str]) -> DataFrame
     a, b = seen.select(*keys).distinct().withColumn("s", F.lit(1)), expected.select(*keys).distinct().withColumn("e", F.lit(1))
     label = F.when(F.col("s").isNull(), "silent").when(F.col("e").isNull(), "missing").otherwise("confirmed")
     return a.join(b, keys, "full").select(*keys, label.alias("label"))
+
+
+def deterministic(source: DataFrame, make: Callable[[DataFrame], DataFrame], parts: tuple[int, ...] = (1, 3, 7)) -> bool:
+    """Whether what ``make`` derives from a frame is the same whatever the order and partitions of the frame's rows."""
+    marks = {tuple(map(tuple, fingerprint(make(source.repartition(n))).orderBy("column").collect())) for n in parts}
+    return len(marks) == 1
+
+
+def threshold_lines(models: DataFrame) -> DataFrame:
+    """(model, line, text): lines of (model, sql) that compare with a number."""
+    rows = models.select("model", F.posexplode(F.split("sql", "\n")).alias("n", "text"))
+    return rows.filter(F.col("text").rlike(r"(<=?|>=?|<>|!=|(?<![<>!])=|\bbetween\b)\s*-?\d")).select("model", (F.col("n") + 1).alias("line"), F.trim("text").alias("text"))
+
+
+def uncovered_lines(models: DataFrame, known: DataFrame) -> DataFrame:
+    """Threshold lines that no (model, line) row of ``known`` covers."""
+    return threshold_lines(models).join(known.select("model", "line"), ["model", "line"], "left_anti")
+
+
+def stale_lines(models: DataFrame, known: DataFrame) -> DataFrame:
+    """Rows of ``known`` whose line compares with nothing now."""
+    return known.join(threshold_lines(models), ["model", "line"], "left_anti")
+
+
+def crossings(base: DataFrame, now: DataFrame) -> DataFrame:
+    """How many keys of both (key, outcome) tables have another outcome."""
+    both = base.select("key", F.col("outcome").alias("a")).join(now.select("key", F.col("outcome").alias("b")), "key")
+    return both.agg(F.count_if(~F.col("a").eqNullSafe(F.col("b"))).alias("n"))
+
+
+def spot_check(df: DataFrame, key: str, k: int = 10, seed: int = SEED) -> DataFrame:
+    """The k rows that a seeded hash of their key puts first: the same at every run."""
+    return df.orderBy(F.xxhash64(F.lit(seed), F.col(key).cast("string")), key).limit(k)

@@ -107,3 +107,34 @@ def validate(claims: DataFrame, ledger: DataFrame, nodes: DataFrame) -> DataFram
 def salvage(claims: DataFrame, failures: DataFrame) -> DataFrame:
     """The claims that pass."""
     return claims.join(failures.select("claim").distinct(), "claim", "left_anti")
+
+
+#: File paths and line numbers in prose.
+PATH = r"(?i)(?<![\w/])(?:[\w.-]+/)*[\w.-]+\.(?:sql|csv|yml|yaml)\b"
+LINES = r"(?i)\blines?\s+(\d+)(?:\s*(?:-|–|to)\s*(\d+))?"
+
+
+def prose_references(claims: DataFrame, ledger: DataFrame) -> DataFrame:
+    """A file or a line that a claim mentions is one that it cites; the ledger has file, first and last line here."""
+    cited = _cited(claims).join(ledger.select("id", "file", "first_line", "last_line"), "id")
+    files = claims.select("claim", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(PATH), F.lit(0)))).alias("said"))
+    match = (files["claim"] == cited["claim"]) & ((F.col("file") == F.col("said")) | F.col("file").endswith(F.concat(F.lit("/"), "said")))
+    no_file = _failures(files.join(cited, match, "left_anti"), "R6", F.col("said"))
+    spans = claims.select("claim", F.explode(F.regexp_extract_all("text", F.lit(LINES), F.lit(0))).alias("said"))
+    a = F.regexp_extract("said", LINES, 1).cast("int")
+    b = F.nullif(F.regexp_extract("said", LINES, 2), F.lit("")).cast("int")
+    spans = spans.withColumn("a", a).withColumn("b", F.coalesce(b, a))
+    inside = (spans["claim"] == cited["claim"]) & (F.col("first_line") <= F.col("a")) & (F.col("b") <= F.col("last_line"))
+    return no_file.unionByName(_failures(spans.join(cited, inside, "left_anti"), "R6", F.col("said")))
+
+
+def verdict(text: Column) -> Column:
+    """yes, no or null, from the first sentence of a text."""
+    first = F.lower(F.element_at(F.split(F.trim(text), r"(?<=[.!?])\s"), 1))
+    return F.when(first.rlike(r"^yes\b"), "yes").when(first.rlike(r"^no\b|\b(not|never|cannot|doesn't|don't)\b"), "no").when(first.rlike(r"\b(reach|affect|feed|flow|impact)(es|s)?\b"), "yes")
+
+
+def verdicts(claims: DataFrame, facts: DataFrame) -> DataFrame:
+    """A claim that cites a reachability fact (id, reaches) doesn't state its opposite."""
+    said = _cited(claims).join(facts.select("id", "reaches"), "id").withColumn("said", verdict(F.col("text")))
+    return _failures(said.filter(F.col("said") != F.when(F.col("reaches"), "yes").otherwise("no")), "R9", F.col("id"))
