@@ -170,3 +170,27 @@ def crossings(base: DataFrame, now: DataFrame) -> DataFrame:
 def spot_check(df: DataFrame, key: str, k: int = 10, seed: int = SEED) -> DataFrame:
     """The k rows that a seeded hash of their key puts first: the same at every run."""
     return df.orderBy(F.xxhash64(F.lit(seed), F.col(key).cast("string")), key).limit(k)
+
+
+def local_check(spark: SparkSession, table: str, column: str, modes: list[str], key: str, models: dict[str, str], expected: DataFrame) -> DataFrame:
+    """(model, column, label, modes) for the models next to a table: what a column's modes changed against the edges that are expected.
+
+    ``expected`` is (model, column) of the edges from the column. A pair that any
+    mode changes is seen; without an edge it is missing, an edge that no mode shows is silent.
+    """
+    seen = None
+    for mode in modes:
+        part = affected(spark, table, column, mode, key, models).withColumn("mode", F.lit(mode))
+        seen = part if seen is None else seen.unionByName(part)
+    seen = spark.createDataFrame(seen.collect(), seen.schema)  # a row for each changed column and mode
+    labels = classify(seen, expected, ["model", "column"])
+    by = seen.groupBy("model", "column").agg(F.array_sort(F.collect_set("mode")).alias("modes"))
+    return labels.join(by, ["model", "column"], "left").withColumn("modes", F.coalesce("modes", F.array().cast("array<string>")))
+
+
+def report(labels: DataFrame) -> str:
+    """Counts by label and the pairs that need a look, as text."""
+    counts = {r["label"]: r["n"] for r in labels.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    lines = [", ".join(f"{counts.get(k, 0)} {k}" for k in ("confirmed", "missing", "silent"))]
+    rows = labels.filter("label <> 'confirmed'").orderBy("label", "model", "column").collect()
+    return "\n".join([*lines, *[f"{r['label']}: {r['model']}.{r['column']}" for r in rows]])

@@ -112,3 +112,44 @@ def indirect_cte() -> str:
         "indirect AS (SELECT DISTINCT c.src, c.model || '.' || k.col AS dst, c.type, c.model FROM compact c JOIN cols k ON k.model = c.model "
         "AND (c.targets = '*' OR list_contains(string_split(c.targets, ' '), k.col)) WHERE NOT EXISTS (SELECT 1 FROM direct d WHERE d.src = c.src AND d.dst = c.model || '.' || k.col))"
     )
+
+
+# Checks of a written lineage: each gives the rows that break a rule.
+
+
+def check_endpoints(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Ends of edges that are no column."""
+    ends = edges.select(F.col("from").alias("node")).union(edges.select("to")).distinct()
+    return ends.join(nodes.select("node"), "node", "left_anti")
+
+
+def check_duplicates(edges: DataFrame) -> DataFrame:
+    """Pairs written more than once."""
+    return edges.groupBy("from", "to").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+
+
+def check_overlap(direct: DataFrame, indirect: DataFrame) -> DataFrame:
+    """Indirect pairs that a direct edge holds."""
+    return indirect.select("from", "to").distinct().join(direct.select("from", "to"), ["from", "to"], "left_semi")
+
+
+def check_incoming(edges: DataFrame, nodes: DataFrame, sources: DataFrame) -> DataFrame:
+    """Columns of models that nothing leads to; ``sources`` are the raw ones."""
+    return nodes.select("node").join(edges.select(F.col("to").alias("node")), "node", "left_anti").join(sources.select("node"), "node", "left_anti")
+
+
+def depth_histogram(edges: DataFrame) -> DataFrame:
+    """(depth, n) of the longest paths from raw columns."""
+    from tributary.plans.graph import depths
+
+    return depths(edges).groupBy("depth").agg(F.count(F.lit(1)).alias("n"))
+
+
+def trace_question(edges: DataFrame, target: str) -> dict:
+    """The gold of a question about a column's origin: its inputs, all that lies above it, and where that begins."""
+    from tributary.plans import graph as G
+
+    up = G.reach(G.reversed_edges(edges), edges.sparkSession.createDataFrame([(target,)], "n string"))
+    rows = {r["node"]: r["depth"] for r in up.collect()}
+    first = {r["node"] for r in G.starts(edges).collect()}
+    return {"target": target, "inputs": sorted(n for n, d in rows.items() if d == 1), "upstream": sorted(rows), "sources": sorted(set(rows) & first)}
