@@ -88,7 +88,7 @@ def stratified_split(df: DataFrame, key: str, stratum: str, share: float, salt:
 def breakdown(df: DataFrame, metric: str, dimensions: list[str]) -> DataFrame:
     """(dimension, value, n, mean) of a nullable metric over each dimension, and over all, in one pass."""
     cells = F.array(F.struct(F.lit("all").alias("dimension"), F.lit("all").alias("value")), *[F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("value")) for d in dimensions])
-    return df.select(F.col(metric).alias("m"), F.explode(cells).alias("c")).groupBy("c.dimension", "c.value").agg(F.count("m").alias("n"), F.round(F.avg("m"), 6).alias("mean"))
+    return df.select(F.col(metric).alias("m"), F.explode(cells).alias("c")).groupBy("c.dimension", "c.value").agg(F.count("m").alias("n"), F.avg("m").alias("mean"))
 
 
 def tolerant_prf(pred: Column, gold: Column, closure: Column) -> tuple[Column, Column, Column]:

@@ -1,5 +1,6 @@
 """Models over the driver's tables, in DuckDB's dialect; Spark gets them through the dialect rewrites.
 
+Money is summed as decimals, so sums don't depend on the order of rows.
 ``SOURCES`` are the raw tables, ``MODELS`` the SQL by name. A model's oracle is
 the chain of its ancestors as CTEs.
 """
@@ -57,13 +58,13 @@ select
     items.part_id,
     parts.brand,
     items.quantity,
-    items.price * (1 - items.discount) as net_price,
+    cast(items.price as decimal(18, 2)) * (1 - cast(items.discount as decimal(18, 2))) as net_price,
     case when parts.size > 25 then 'large' when parts.size > 10 then 'medium' else 'small' end as size_class
 from stg_items as items
 inner join stg_parts as parts on items.part_id = parts.part_id""",
     "int_order_totals": """
 with per_order as (
-    select order_id, round(sum(net_price), 2) as items_total, count(*) as n_items, count(distinct part_id) as n_parts
+    select order_id, sum(net_price) as items_total, count(*) as n_items, count(distinct part_id) as n_parts
     from int_items_enriched
     group by order_id
 )
@@ -109,7 +110,7 @@ select order_id, customer_id, status, state, items_total, order_number, date_dif
 from int_customer_history""",
     "dim_customers": """
 with spend as (
-    select customer_id, round(sum(items_total), 2) as lifetime_value, count(*) as n_orders, max(order_number) as last_number
+    select customer_id, sum(items_total) as lifetime_value, count(*) as n_orders, max(order_number) as last_number
     from fct_orders
     group by customer_id
 )
@@ -130,9 +131,9 @@ from dim_customers""",
     "fct_monthly": """
 select
     cast(date_trunc('month', order_date) as date) as month,
-    round(sum(items_total), 2) as revenue,
-    round(sum(items_total) - lag(sum(items_total)) over (order by date_trunc('month', order_date)), 2) as change,
-    round(sum(sum(items_total)) over (order by date_trunc('month', order_date) rows unbounded preceding), 2) as running
+    sum(items_total) as revenue,
+    sum(items_total) - lag(sum(items_total)) over (order by date_trunc('month', order_date)) as change,
+    sum(sum(items_total)) over (order by date_trunc('month', order_date) rows unbounded preceding) as running
 from int_order_totals
 group by date_trunc('month', order_date)""",
     "fct_part_performance": """
@@ -140,8 +141,8 @@ select
     parts.part_id,
     parts.brand,
     cast(count(items.order_id) filter (where items.quantity > 25) as bigint) as big_orders,
-    round(sum(items.net_price), 2) as revenue,
-    round(sum(items.net_price) / nullif(sum(items.quantity), 0), 4) as unit_revenue
+    sum(items.net_price) as revenue,
+    cast(sum(items.net_price) as double) / nullif(sum(items.quantity), 0) as unit_revenue
 from stg_parts as parts
 inner join int_items_enriched as items on parts.part_id = items.part_id
 group by parts.part_id, parts.brand

@@ -35,7 +35,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def plain(df: DataFrame) -> DataFrame:
-    """Dates and timestamps as text and whole numbers as 64-bit, which compare alike in every engine."""
+    """Dates and timestamps as text, whole numbers as 64-bit and decimals as doubles, which compare alike in every engine."""
     out = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
@@ -43,6 +43,8 @@ def plain(df: DataFrame) -> DataFrame:
             c = c.cast("string")
         elif isinstance(f.dataType, T.IntegralType):
             c = c.cast("long")
+        elif isinstance(f.dataType, T.DecimalType):
+            c = c.cast("double")
         out.append(c.alias(f.name))
     return df.select(out)
 
@@ -52,12 +54,15 @@ def plain(df: DataFrame) -> DataFrame:
 _DATES = {"stg_orders": ["order_date"], "stg_items": ["ship_date"], "int_order_totals": ["order_date"], "int_customer_history": ["order_date", "previous_order_date"], "int_latest_order": ["order_date"], "fct_monthly": ["month"], "fct_items_slim": ["ship_date"], "stg_events": ["ts"]}
 
 
+_MONEY = {"int_items_enriched": ["net_price"], "int_order_totals": ["items_total"], "int_customer_history": ["items_total"], "fct_orders": ["items_total"], "dim_customers": ["lifetime_value"], "dim_segments": ["lifetime_value"], "fct_monthly": ["revenue", "change", "running"], "fct_part_performance": ["revenue"], "fct_top_parts": ["revenue"]}
+
+
 def _model(name: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         df = plain(models.model(spark, sf_dir, name))
         return df.drop("ts")
 
-    texts = [f"CAST({c} AS VARCHAR) AS {c}" for c in _DATES.get(name, []) if c != "ts"]
+    texts = [f"CAST({c} AS VARCHAR) AS {c}" for c in _DATES.get(name, []) if c != "ts"] + [f"CAST({c} AS DOUBLE) AS {c}" for c in _MONEY.get(name, [])]
     select = "*" + (" EXCLUDE (ts)" if name == "stg_events" else "") + (f" REPLACE ({', '.join(texts)})" if texts else "")
     QUERIES[f"model_{name}"] = run
     ORACLES[f"model_{name}"] = models.oracle(name, select)
@@ -358,10 +363,10 @@ def fn_url(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", M.url_host(F.col("url")).alias("host"), M.url_parameter(F.col("url"), "page").alias("page"))
 
 
-@query("SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 0 WHEN c_acctbal >= 9000 THEN 10 ELSE CAST(floor(c_acctbal / 1000) + 1 AS BIGINT) END AS bucket, round(c_acctbal / nullif(c_nationkey, 0), 4) AS share FROM customer")
+@query("SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 0 WHEN c_acctbal >= 9000 THEN 10 ELSE CAST(floor(c_acctbal / 1000) + 1 AS BIGINT) END AS bucket, c_acctbal / nullif(c_nationkey, 0) AS share FROM customer")
 def fn_numeric(spark, sf_dir):
     """H20, H21."""
-    return read(spark, sf_dir, "customer").select("c_custkey", M.width_bucket(F.col("c_acctbal"), 0, 9000, 9).cast("long").alias("bucket"), F.round(M.safe_divide(F.col("c_acctbal"), F.col("c_nationkey")), 4).alias("share"))
+    return read(spark, sf_dir, "customer").select("c_custkey", M.width_bucket(F.col("c_acctbal"), 0, 9000, 9).cast("long").alias("bucket"), M.safe_divide(F.col("c_acctbal"), F.col("c_nationkey")).alias("share"))
 
 
 @query("SELECT s_suppkey, round(2 * 3961 * asin(sqrt(pow(sin(radians(s_nationkey * 2.0 - s_nationkey) / 2), 2) + cos(radians(CAST(s_nationkey AS DOUBLE))) * cos(radians(s_nationkey * 2.0)) * pow(sin(radians(10.0 - s_suppkey % 90) / 2), 2))), 4) AS miles FROM supplier")
@@ -594,12 +599,12 @@ def validate_claims(spark, sf_dir):
     return validation.validate(claims, ledger, nodes).select(F.col("claim").cast("long").alias("claim"), "rule", "item")
 
 
-@query("WITH n AS (SELECT count(*) FILTER (quality = 1) AS n_pred, count(*) FILTER (toxic = 0) AS n_gold, count(*) FILTER (quality = 1 AND toxic = 0) AS n_both FROM labels) SELECT n_pred, n_gold, n_both, round(n_both / n_pred, 9) AS precision, round(n_both / n_gold, 9) AS recall, round(2 * n_both / (n_pred + n_gold), 9) AS f1 FROM n")
+@query("WITH n AS (SELECT count(*) FILTER (quality = 1) AS n_pred, count(*) FILTER (toxic = 0) AS n_gold, count(*) FILTER (quality = 1 AND toxic = 0) AS n_both FROM labels) SELECT n_pred, n_gold, n_both, n_both / n_pred AS precision, n_both / n_gold AS recall, 2 * (n_both / n_pred) * (n_both / n_gold) / (n_both / n_pred + n_both / n_gold) AS f1 FROM n")
 def metric_prf(spark, sf_dir):
     """S3: two sets of documents against each other."""
     lb = read(spark, sf_dir, "labels")
     s = metrics.set_scores(lb.filter("quality = 1"), lb.filter("toxic = 0"), "doc_id")
-    return s.select("n_pred", "n_gold", "n_both", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")])
+    return s.select("n_pred", "n_gold", "n_both", "precision", "recall", "f1")
 
 
 @query("SELECT count(*) FILTER (quality = 1 AND toxic = 0) AS b, count(*) FILTER (quality <> 1 AND toxic <> 0) AS c FROM labels")
@@ -616,7 +621,7 @@ def metric_percentile(spark, sf_dir):
     return metrics.percentile(read(spark, sf_dir, "orders"), "o_totalprice", 95, ["o_orderpriority"])
 
 
-@query("WITH d AS (SELECT l.doc_id, CAST(l.toxic AS DOUBLE) AS m, d.lang FROM labels l JOIN documents d USING (doc_id)) SELECT 'all' AS dimension, 'all' AS value, count(m) AS n, round(avg(m), 6) AS mean FROM d UNION ALL SELECT 'lang', lang, count(m), round(avg(m), 6) FROM d GROUP BY lang")
+@query("WITH d AS (SELECT l.doc_id, CAST(l.toxic AS DOUBLE) AS m, d.lang FROM labels l JOIN documents d USING (doc_id)) SELECT 'all' AS dimension, 'all' AS value, count(m) AS n, avg(m) AS mean FROM d UNION ALL SELECT 'lang', lang, count(m), avg(m) FROM d GROUP BY lang")
 def metric_breakdown(spark, sf_dir):
     """A metric by dimension."""
     d = read(spark, sf_dir, "labels").join(read(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id").withColumn("m", F.col("toxic").cast("double"))
