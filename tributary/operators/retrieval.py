@@ -18,13 +18,6 @@ DIM = 64
 EMPTY = "\u0000empty"
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """(id, token, tf) of (id, text)."""
-    toks = search_tokens(F.col("text"))
-    toks = F.when(F.size(toks) == 0, F.array(F.lit(EMPTY))).otherwise(toks)
-    return docs.select("id", F.explode(toks).alias("token")).groupBy("id", "token").agg(F.count(F.lit(1)).alias("tf"))
-
-
 def bm25(docs: DataFrame, queries: DataFrame) -> DataFrame:
     """(qid, id, score): every document with a score above zero for each of (qid, text).
 
@@ -32,11 +25,13 @@ def bm25(docs: DataFrame, queries: DataFrame) -> DataFrame:
     a token that a query repeats counts as often.
     """
     asked = queries.select("qid", F.explode(search_tokens(F.col("text"))).alias("token")).groupBy("qid", "token").agg(F.count(F.lit(1)).alias("times"))
-    terms = postings(docs)
-    lengths = terms.groupBy("id").agg(F.sum("tf").alias("dl"))
-    totals = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    toks = search_tokens(F.col("text"))
+    rows = docs.select("id", F.when(F.size(toks) == 0, F.array(F.lit(EMPTY))).otherwise(toks).alias("toks")).withColumn("dl", F.size("toks"))
+    totals = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    # Only tokens that a query has are counted per document, so only they are shuffled.
+    terms = rows.select("id", "dl", F.explode("toks").alias("token")).join(asked.select("token").distinct(), "token").groupBy("id", "dl", "token").agg(F.count(F.lit(1)).alias("tf"))
     df = terms.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    hits = terms.join(asked, "token").join(df, "token").join(lengths, "id").crossJoin(F.broadcast(totals))  # one row
+    hits = terms.join(asked, "token").join(df, "token").crossJoin(F.broadcast(totals))  # one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.col("times") * idf * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return hits.groupBy("qid", "id").agg(F.sum(part).alias("score")).filter("score > 0")

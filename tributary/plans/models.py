@@ -178,8 +178,9 @@ def ancestors(model: str) -> list[str]:
 
 
 def register(spark: SparkSession, sf_dir: str, models: list[str] | None = None) -> None:
-    """Register the raw tables and the models as temporary views."""
-    for t in SOURCES:
+    """Register models (all, by default) and the raw tables that they read as temporary views."""
+    of = reads()
+    for t in sorted(set().union(*(of[m] for m in models or of)) & set(SOURCES)):
         spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
     for m in models or topological(reads()):
         spark.sql(to_spark(MODELS[m])).createOrReplaceTempView(m)
