@@ -193,6 +193,30 @@ def test_similar_stage_finds_near_copies(spark):
     assert S.near_dedup_report(docs(spark, [])).count() == 0
 
 
+def on_template(r, n, shared, own, changed):
+    """n texts of ``shared`` common words and ``own`` words each, and a copy of each with ``changed`` other words."""
+    word = lambda: f"w{r.randint(0, 10**9)}"
+    common = [word() for _ in range(shared)]
+    texts = [[word() for _ in range(own)] for _ in range(n)]
+    copies = [[word() if j in at else w for j, w in enumerate(t)] for t in texts for at in [set(r.sample(range(own), changed))]]
+    return [" ".join(common + t) for t in texts], [" ".join(common + t) for t in copies]
+
+
+def jaccard(a, b):
+    x, y = (set(S.shingle_hashes(t, 5).tolist()) for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+@pytest.mark.parametrize("max_table", [4096, 64])
+def test_similar_links_compare_whole_keys(spark, max_table):
+    # Keys of some hundred rows; a copy stands 500 ids after its original.
+    first, second = on_template(random.Random(8), 500, 200, 110, 5)
+    want = {(i, i + 500) for i in range(500) if jaccard(first[i], second[i]) >= 0.8}
+    assert len(want) > 400
+    got = {tuple(e) for e in S.similar_links(docs(spark, first + second), max_table=max_table).collect()}
+    assert len(want & got) >= 0.99 * len(want) and not {e for e in got if e[1] - e[0] != 500}
+
+
 def test_simhash_nulls_and_repeats(spark):
     d = spark.createDataFrame([(None, "a b c d"), (4, "a b c d"), (4, "a b c d"), (None, "other words here now")], "doc_id long, text string")
     got = sorted((str(r["doc_id"]), str(r["component_id"])) for r in S.near_dedup_report(d).collect())

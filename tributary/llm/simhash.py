@@ -218,7 +218,7 @@ def near_dedup_report(docs: DataFrame) -> DataFrame:
 WIDE, KEYS, KEY_BITS = 8, 64, 16
 #: Differing bits of the first word up to which a pair is looked at: about three deviations beyond what 0.8 gives.
 RADIUS = 18
-#: Rows of a key that each row is compared with, beside the key's first.
+#: Rows of a key that each row is compared with in the first round, beside the key's first; the second compares all.
 NEIGHBOURS = 32
 
 _MIX = np.random.default_rng(21).integers(0, 2**63, WIDE, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -251,26 +251,33 @@ def wide_simhash(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")
 
 
-def _wide_keys(words: int):
-    """(id, text) -> a row (key, fp, id) for each key of a text that has a shingle."""
+def _wide_rows(words: int):
+    """(id, text) -> (id, wide fingerprint) of each text that has a shingle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("simhash", dict)
-        weights = (1 << np.arange(KEY_BITS)).astype(np.int64)
         for batch in batches:
             sets = [shingle_hashes(t, words) for t in batch.column(1).to_pylist()]
             used = np.flatnonzero([len(s) > 0 for s in sets])
-            if not len(used):
-                continue
-            wide = np.stack([wide_simhash(sets[i]) for i in used])
-            bits = np.unpackbits(wide.view(np.uint8).reshape(len(used), -1), axis=1, bitorder="little")
-            keys = (bits[:, _CHOSEN] @ weights) | (np.arange(KEYS, dtype=np.int64) << KEY_BITS)
-            owner = batch.column(0).take(pa.array(np.repeat(used, KEYS)))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(np.repeat(wide[:, 0].view(np.int64), KEYS)), owner], ["key", "fp", "id"])
+            wide = pa.array([wide_simhash(sets[i]).tobytes() for i in used], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(used)), wide], ["id", "wide"])
 
     return run
 
 
+def _wide_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(wide, columns) -> a row (key, fp, columns) for each key of a fingerprint."""
+    weights = (1 << np.arange(KEY_BITS)).astype(np.int64)
+    for batch in batches:
+        if not len(batch):
+            continue
+        wide = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(len(batch), -1)
+        keys = (np.unpackbits(wide, axis=1, bitorder="little")[:, _CHOSEN] @ weights) | (np.arange(KEYS, dtype=np.int64) << KEY_BITS)
+        owner = pa.array(np.repeat(np.arange(len(batch)), KEYS))
+        fp = np.repeat(wide[:, :8].copy().view("<i8")[:, 0], KEYS)
+        yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(fp), *(c.take(owner) for c in batch.columns[1:])], ["key", "fp", *batch.schema.names[1:]])
+
+
 def _candidates(radius: int):
     """Rows (key, fp, id) in order of key and id: for each row its key's first row, if close, or else the closest of the rows before it."""
 
@@ -323,6 +330,74 @@ def _candidates(radius: int):
     return run
 
 
+def _all_candidates(radius: int):
+    """Rows (key, part, side, fp, id, component) in order of key and part: every pair of a part within the radius, of two components.
+
+    Side -1 meets its whole part, other sides only what is on another side.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[np.ndarray] = []
+
+        def meet(cols: list[np.ndarray]) -> None:
+            key, part, side, fp, node, comp = cols
+            fp = fp.view(np.uint64)
+            n = np.arange(len(key))
+            heads = np.concatenate([[True], (key[1:] != key[:-1]) | (part[1:] != part[:-1])])
+            place = n - np.maximum.accumulate(np.where(heads, n, 0))
+            at, k = n[place > 0], 1
+            while len(at):
+                to = at - k
+                good = (np.bitwise_count(fp[at] ^ fp[to]) <= radius) & (comp[at] != comp[to]) & ((side[at] < 0) | (side[at] != side[to]))
+                if good.any():
+                    x, y = node[at[good]], node[to[good]]
+                    found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1))
+                    if sum(map(len, found)) > 1 << 20:
+                        found[:] = [np.unique(np.concatenate(found), axis=0)]
+                k += 1
+                at = at[place[at] >= k]
+
+        def drained() -> Iterator[pa.RecordBatch]:
+            pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+            found.clear()
+            for i in range(0, len(pairs), 10_000):
+                part = pairs[i : i + 10_000]
+                yield pa.RecordBatch.from_arrays([pa.array(part[:, 0].copy()), pa.array(part[:, 1].copy())], ["a", "b"])
+
+        held: list[list[np.ndarray]] = []  # rows of a part that isn't over
+        for batch in batches:
+            if not len(batch):
+                continue
+            new = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            last = int(np.argmax((new[0] == new[0][-1]) & (new[1] == new[1][-1])))
+            if last or (held and (held[-1][0][-1], held[-1][1][-1]) != (new[0][0], new[1][0])):
+                held.append([c[:last] for c in new])
+                meet([np.concatenate(c) for c in zip(*held, strict=True)])
+                held = []
+            held.append([c[last:] for c in new])
+            if sum(map(len, found)) > 1 << 19:
+                yield from drained()
+        if held:
+            meet([np.concatenate(c) for c in zip(*held, strict=True)])
+        yield from drained()
+
+    return run
+
+
+def _in_parts(keys: DataFrame, max_table: int) -> DataFrame:
+    """(key, part, side, fp, id, component): a key of over ``max_table`` rows is dealt into blocks, and each two of them meet in a part of their own."""
+    counts = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
+    crowded = stored(counts.filter(F.col("n") > max_table).select("key", F.ceil(F.col("n") / max_table).cast("int").alias("blocks"), (F.col("low") < F.col("high")).alias("mixed")), "crowded")
+    plain = lambda rows: rows.select("key", F.lit(0).alias("part"), F.lit(-1).alias("side"), "fp", "id", "component")
+    if crowded.isEmpty():
+        return plain(keys)
+    dealt = keys.join(crowded.filter("mixed"), "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    part = F.least("block", "other") * F.col("blocks") + F.greatest("block", "other")
+    split = met.select("key", part.alias("part"), F.when(F.col("block") == F.col("other"), -1).otherwise(F.col("block")).alias("side"), "fp", "id", "component")
+    return plain(keys.join(crowded, "key", "left_anti")).unionByName(split)
+
+
 def _set_rows(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("simhash", dict)
@@ -353,33 +428,47 @@ def _verified(similarity: float):
     return run
 
 
-def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, max_table: int = MAX_TABLE) -> DataFrame:
     """(a, b): verified links that connect the near copies; a pair is one of documents whose shingle sets are as similar as asked.
 
-    Each document proposes one partner per key. One proposal of each document is
-    verified first; of the others only those that would join two components.
+    In a first round each document proposes one partner per key. One proposal of
+    each document is verified first; of the others only those that would join two
+    components. A second round verifies every other pair of a key within the
+    radius whose documents are still in two components.
     """
     prepare(docs.sparkSession)
     rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    keys = rows.mapInArrow(_wide_keys(words), "key long, fp long, id long")
+    marks = stored(rows.mapInArrow(_wide_rows(words), "id long, wide binary"), "wide")
+    keys = marks.select("wide", "id").mapInArrow(_wide_keys, "key long, fp long, id long")
     pairs = stored(keys.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_candidates(RADIUS), "a long, b long").groupBy("a", "b").agg(F.count(F.lit(1)).alias("times")), "proposals")
-    nodes = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "nid")
-    sets = stored(rows.join(nodes, F.col("id") == F.col("nid")).select("id", "text").mapInArrow(_set_rows(words), "sid long, shingles binary"), "sets")
 
-    def verified(some: DataFrame) -> DataFrame:
+    def sets_of(some: DataFrame) -> DataFrame:
+        nodes = some.select("a").union(some.select("b")).distinct().withColumnRenamed("a", "nid")
+        return stored(rows.join(nodes, F.col("id") == F.col("nid")).select("id", "text").mapInArrow(_set_rows(words), "sid long, shingles binary"), "sets")
+
+    def verified(some: DataFrame, sets: DataFrame) -> DataFrame:
         left = some.join(sets, F.col("a") == F.col("sid")).select("a", "b", F.col("shingles").alias("x"))
         both = left.join(sets, F.col("b") == F.col("sid")).select("a", "b", "x", F.col("shingles").alias("y"))
-        return both.mapInArrow(_verified(similarity), "a long, b long")
-
-    best = pairs.groupBy("b").agg(F.max_by("a", F.struct("times", -F.col("a"))).alias("a")).select("a", "b")
-    sure = stored(verified(best), "links")
-    cc = connected_components(sure)
-    other = pairs.select("a", "b").join(best, ["a", "b"], "left_anti")
-    for side in ("a", "b"):
-        c = cc.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
-        other = other.join(c, side, "left").withColumn(f"c{side}", F.coalesce(f"c{side}", side))
-    more = stored(verified(stored(other.filter("ca <> cb").select("a", "b"), "open")), "links")
-    return sure.unionByName(more)
+        return stored(both.mapInArrow(_verified(similarity), "a long, b long"), "links")
+
+    def apart(some: DataFrame, cc: DataFrame) -> DataFrame:
+        for side in ("a", "b"):
+            c = cc.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
+            some = some.join(c, side, "left").withColumn(f"c{side}", F.coalesce(f"c{side}", side))
+        return some.filter("ca <> cb").select("a", "b")
+
+    sets = sets_of(pairs)
+    best = stored(pairs.groupBy("b").agg(F.max_by("a", F.struct("times", -F.col("a"))).alias("a")).select("a", "b"), "best")
+    sure = verified(best, sets)
+    other = stored(apart(pairs.select("a", "b").join(best, ["a", "b"], "left_anti"), connected_components(sure)), "open")
+    links = sure.unionByName(verified(other, sets))
+
+    cc = connected_components(links).select(F.col("node").alias("id"), "component")
+    placed = marks.join(cc, "id", "left").select("wide", "id", F.coalesce("component", "id").alias("component"))
+    parts = _in_parts(placed.mapInArrow(_wide_keys, "key long, fp long, id long, component long"), max_table)
+    every = parts.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(_all_candidates(RADIUS), "a long, b long").distinct()
+    rest = stored(every.join(best.unionByName(other), ["a", "b"], "left_anti"), "rest")
+    return links.unionByName(verified(rest, sets_of(rest)))
 
 
 def similar_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
