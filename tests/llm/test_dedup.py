@@ -217,6 +217,17 @@ def test_similar_links_compare_whole_keys(spark, max_table):
     assert len(want & got) >= 0.99 * len(want) and not {e for e in got if e[1] - e[0] != 500}
 
 
+def test_similar_links_on_a_long_template(spark):
+    # Copies stand beside their originals; every key's first row is within the radius of most others, and too far by its shingles.
+    first, second = on_template(random.Random(9), 500, 300, 110, 5)
+    texts = [t for pair in zip(first, second, strict=True) for t in pair]
+    assert jaccard(texts[0], texts[2]) < 0.65
+    want = {(2 * i, 2 * i + 1) for i in range(500) if jaccard(first[i], second[i]) >= 0.8}
+    got = {tuple(e) for e in S.similar_links(docs(spark, texts)).collect()}
+    print("recall", len(want & got), len(want))
+    assert len(want & got) >= 0.99 * len(want) and got <= want
+
+
 def test_simhash_nulls_and_repeats(spark):
     d = spark.createDataFrame([(None, "a b c d"), (4, "a b c d"), (4, "a b c d"), (None, "other words here now")], "doc_id long, text string")
     got = sorted((str(r["doc_id"]), str(r["component_id"])) for r in S.near_dedup_report(d).collect())
