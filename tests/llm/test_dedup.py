@@ -246,6 +246,26 @@ def test_pieces_cover_the_text():
         assert sum(words) == len(text.split())
 
 
+@pytest.mark.parametrize("per_sentence", [1, 3, 5, 12, 20, 1000])
+def test_every_spliced_passage_holds_a_run(per_sentence):
+    r = random.Random(per_sentence)
+
+    def prose(n, k):
+        return [f"w{r.randint(0, 3000)}" + ("." if i % k == k - 1 else "") for i in range(n)]
+
+    def found(text):
+        _, words, hashes = D.pieces(text)
+        return {tuple(hashes[a : b + 1]) for a, b in zip(*D.runs(words, D.MIN_PIECES, D.MIN_WORDS), strict=True)}
+
+    def between(passage):
+        return found(" ".join(prose(r.randint(0, 60), 15) + passage + prose(r.randint(0, 60), 11)))
+
+    passages = [prose(51, per_sentence) for _ in range(100)]
+    missed = sum(not between(p) & between(p) for p in passages)
+    print("missed", per_sentence, missed)
+    assert not missed
+
+
 def brute_substring(texts):
     first, spans = {}, {}
     for i, t in texts:

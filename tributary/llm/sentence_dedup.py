@@ -1,11 +1,12 @@
 """Substring dedup by sliding spans of sentences.
 
-A text is cut after sentence ends and lines. A sentence of fewer than
-``SHORT_SENTENCE`` words joins the next; one of more than ``LONG_SENTENCE``
-words is cut further after words chosen by their own hash. So the cuts inside a
-passage don't depend on what surrounds it. Every run of
+A text is cut after the least word of every ``WINDOW`` words in a row: ends of
+sentences and lines come first, then the words' own hashes decide. So pieces
+have ``WINDOW`` words at most (the first and last up to twice as many), and the
+cuts inside a passage, but for its outer ``WINDOW`` words, don't depend on what
+surrounds it: each passage of over 50 words holds a run. Every run of
 several consecutive pieces that reaches a number of words is hashed, the hashes
-meet in one global aggregation, and pieces covered by a repeated run go, unless
+meet in one global sort, and pieces covered by a repeated run go, unless
 the run is its first occurrence (smallest document id, then position).
 """
 
@@ -16,17 +17,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tributary.llm.common import claim, prepare, stored
+from tributary.llm.common import claim, prepare
 
 #: A run has at least this many pieces and words.
 MIN_PIECES, MIN_WORDS = 2, 20
-SHORT_SENTENCE, LONG_SENTENCE, CUT_EVERY = 6, 20, 8
+#: Words in a row of which one at least ends a piece; 4 * WINDOW + MIN_WORDS - 3 words in a row hold a run.
+WINDOW = 8
 
-_PIECE = re.compile(r"[^\n.!?]*(?:[.!?]+(?=\s|\Z)\s*|[.!?]+|\n\s*|\Z)")
 _WORD = re.compile(r"\s*\S+\s*")
 _BASES = tuple(np.uint64(b) for b in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))
 _INVERSES = tuple(np.uint64(pow(int(b), -1, 2**64)) for b in _BASES)
@@ -37,41 +39,22 @@ def pieces(text: str) -> tuple[list[int], list[int], list[int]]:
 
     Pieces follow each other without gaps; trailing white space belongs to a piece.
     """
-    ends, words, hashes = [], [], []
-    digest, begin, size = xxhash.xxh3_64_intdigest, 0, len(text)
-    held: list[str] = []  # words of short sentences, of the piece they begin
-
-    def piece(end: int, w: list[str]) -> None:
-        ends.append(end)
-        words.append(len(w))
-        hashes.append(digest(" ".join(w)))
-
-    for m in _PIECE.finditer(text):
-        at = m.end()
-        if at < size and text[at - 1 : at] in ".!?":  # a mark inside a word ends nothing
-            continue
-        w = text[begin:at].split()
-        if len(w) > LONG_SENTENCE:
-            run = held
-            for x in _WORD.finditer(text[begin:at]):
-                run.append(x[0].strip())
-                if digest(run[-1]) % CUT_EVERY == 0:
-                    piece(begin + x.end(), run)
-                    run = []
-            held = []
-            if run:
-                piece(at, run)
-            else:
-                ends[-1] = at
-        elif len(w) < SHORT_SENTENCE and at < size:
-            held += w
-        else:
-            piece(at, held + w)
-            held = []
-        begin = at
-        if at == size:
-            break
-    return ends, words, hashes
+    digest, size = xxhash.xxh3_64_intdigest, len(text)
+    spans = [(m.group(), m.end()) for m in _WORD.finditer(text)]
+    tokens = [x.strip() for x, _ in spans]
+    n = len(tokens)
+    cuts: list[int] = []  # words that end a piece
+    if n > WINDOW:
+        # White space at the outer border of a passage can differ, so can its last word's rank.
+        later = [x[-1] not in ".!?" and "\n" not in y[len(y.rstrip()) :] for x, (y, _) in zip(tokens, spans, strict=True)]
+        rank = np.array([digest(x) for x in tokens], np.uint64) >> np.uint64(1) | np.array(later, np.uint64) << np.uint64(63)
+        least = np.lib.stride_tricks.sliding_window_view(rank, WINDOW)[:, ::-1].argmin(axis=1)
+        cuts = np.unique(np.arange(n - WINDOW + 1) + WINDOW - 1 - least).tolist()
+    if not cuts or cuts[-1] < n - 1:
+        cuts.append(n - 1)
+    starts = [0, *(c + 1 for c in cuts[:-1])]
+    ends = [spans[c][1] for c in cuts[:-1]] + [size]
+    return ends, [c + 1 - a for a, c in zip(starts, cuts, strict=True)], [digest(" ".join(tokens[a : c + 1])) for a, c in zip(starts, cuts, strict=True)]
 
 
 def runs(words: list[int], min_pieces: int, min_words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -129,6 +112,23 @@ def _span_rows(min_pieces: int, min_words: int):
     return run
 
 
+def _not_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in order of hashes and id: the runs that aren't of their hash's smallest id, or that come again in a text."""
+    lead = None  # a row of one: hashes and smallest id of the last hash
+    for batch in batches:
+        if not len(batch):
+            continue
+        h, g = (batch.column(i).to_numpy() for i in (1, 2))
+        ids = batch.column(0)
+        if lead is not None:
+            h, g, ids = np.concatenate([lead[0], h]), np.concatenate([lead[1], g]), pa.concat_arrays([lead[2], ids])
+        n = np.arange(len(h))
+        heads = np.maximum.accumulate(np.where(np.concatenate([[True], (h[1:] != h[:-1]) | (g[1:] != g[:-1])]), n, 0))
+        other = pc.not_equal(ids, ids.take(pa.array(heads))).slice(len(h) - len(batch))
+        lead = h[-1:], g[-1:], ids.take(pa.array(heads[-1:]))
+        yield batch.select(["id", "start", "end"]).filter(pc.or_(other, batch.column(5)))
+
+
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_pieces: int = MIN_PIECES, min_words: int = MIN_WORDS) -> DataFrame:
     """(id, start, end): characters of each repeated run that isn't its first occurrence, merged within a text.
 
@@ -138,10 +138,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     prepare(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col))
-    spans = stored(rows.mapInArrow(_span_rows(min_pieces, min_words), f"id {kind}, h long, g int, start int, end int, again boolean"), "spans")
-    firsts = spans.filter("not again").groupBy("h", "g").agg(F.min("id").alias("lead"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    later = spans.filter("not again").join(firsts, ["h", "g"]).filter("id <> lead").select("id", "start", "end")
-    found = later.unionByName(spans.filter("again").select("id", "start", "end"))
+    spans = rows.mapInArrow(_span_rows(min_pieces, min_words), f"id {kind}, h long, g int, start int, end int, again boolean")
+    found = spans.repartition("h").sortWithinPartitions("h", "g", "id").mapInArrow(_not_first, f"id {kind}, start int, end int")
     w = Window.partitionBy("id").orderBy("start", "end")
     reached = F.coalesce(F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
     opened = found.withColumn("opens", (F.col("start") > reached).cast("int"))
