@@ -2,16 +2,23 @@
 
 Each task runs DuckDB on its own rows. Rows (word, position, token) join the
 merge table with the token that follows; in every step each word contracts its
-leftmost pair of the least rank. The word's other pairs of that rank that don't
-overlap it go with it where the new token can't stand in a pair of a lower rank
-(a column of the merge table): then they would be the next steps anyway.
+leftmost pair of the least rank. The recursion keeps the words' current state
+only, so its memory follows their bytes and not the steps.
 Distinct words are encoded once per worker; a text's ids are its words' ids in
 order.
+
+A word of many bytes is encoded in pieces. Ids are the encoding of their bytes
+if and only if each two neighbours among them are the encoding of theirs, so
+pieces are joined by encoding a window around each seam: it replaces both sides
+from a token that it shares with the left piece to one that it shares with the
+right piece. Where a window shares none, the encoding goes on from window to
+window until it meets a later piece.
 """
 
 from __future__ import annotations
 
 import base64
+from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import chain
 from pathlib import Path
@@ -28,12 +35,12 @@ from tributary.llm.tokens import KnownWords, in_order, split_units, unit_text
 #: Words given to one recursive query; their bytes bound its memory.
 WORDS_AT_ONCE, BYTES_AT_ONCE = 40_000, 400_000
 
-#: Ordinary words: a word's tokens ride in one row and are opened to position rows in each step.
+#: A word's tokens ride in one row, which the key replaces in each step, and are opened to position rows there.
 ENCODE = """
-WITH RECURSIVE state(word, toks, step) AS (
-  SELECT word, list(tok ORDER BY pos), 0 FROM bytes GROUP BY word
+WITH RECURSIVE state(word, toks) USING KEY (word) AS (
+  SELECT word, list(tok ORDER BY pos) FROM bytes GROUP BY word
   UNION ALL
-  SELECT s.word, s.toks[1:b.spot - 1] || [b.merged] || s.toks[b.spot + 2:len(s.toks)], s.step + 1
+  SELECT s.word, s.toks[1:b.spot - 1] || [b.merged] || s.toks[b.spot + 2:len(s.toks)]
   FROM state s JOIN (
     SELECT word, (min(place) & 4294967295)::INTEGER AS spot, (min(place) >> 32)::INTEGER AS merged
     FROM (
@@ -44,40 +51,13 @@ WITH RECURSIVE state(word, toks, step) AS (
     GROUP BY word
   ) b ON s.word = b.word
 )
-SELECT word, toks FROM (SELECT word, arg_max(toks, step) AS toks FROM state GROUP BY word) ORDER BY word
+SELECT word, toks FROM state ORDER BY word
 """
 
-#: Words of more bytes, for which a step contracts all pairs that it may.
-LONG_WORD = 200
-ENCODE_LONG = """
-WITH RECURSIVE state(word, pos, tok, step) AS (
-  SELECT word, pos, tok, 0 FROM bytes
-  UNION ALL
-  SELECT word, pos, coalesce(into_tok, tok), step + 1
-  FROM (
-    SELECT *, coalesce(lag(hit) OVER w, false) AS gone
-    FROM (
-      SELECT *, coalesce(rank = best AND CASE WHEN safe THEN (row_number() OVER same - 1) % 2 = 0 ELSE row_number() OVER (PARTITION BY word, rank = best ORDER BY pos) = 1 END, false) AS hit
-      FROM (
-        SELECT *, coalesce(sum(CASE WHEN rank = best THEN 0 ELSE 1 END) OVER w, 0) AS run
-        FROM (
-          SELECT *, min(rank) OVER (PARTITION BY word) AS best
-          FROM (SELECT word, pos, tok, step, lead(tok) OVER w AS following FROM state WINDOW w AS (PARTITION BY word ORDER BY pos)) p
-          LEFT JOIN (SELECT l, r, rank, rank AS merged, safe FROM merges) m ON m.l = p.tok AND m.r = p.following
-        )
-        WHERE best IS NOT NULL
-        WINDOW w AS (PARTITION BY word ORDER BY pos)
-      )
-      WINDOW same AS (PARTITION BY word, run, rank = best ORDER BY pos)
-    )
-    WINDOW w AS (PARTITION BY word ORDER BY pos)
-  )
-  , LATERAL (SELECT CASE WHEN hit THEN merged END AS into_tok)
-  WHERE NOT gone
-)
-SELECT word, pos, tok FROM state s JOIN (SELECT word AS w, max(step) AS last FROM state GROUP BY word) e ON s.word = e.w AND s.step = e.last
-ORDER BY word, pos
-"""
+#: Longer words are encoded in pieces of so many bytes, and around each seam from so many bytes before it to so many after.
+PIECE, BEFORE, AFTER = 128, 24, 48
+#: Bytes of a window where seams don't meet their pieces.
+SWEEP = 256
 
 DECODE = "SELECT word, string_agg(hex, '' ORDER BY pos) AS hex FROM ids JOIN vocabulary USING (tok) GROUP BY word ORDER BY word"
 
@@ -94,14 +74,14 @@ class SqlBpe:
         self.ranks = load_ranks(path)
         self.words_of = regex.compile(pattern).findall
         rows = [(self.ranks[t[:i]], self.ranks[t[i:]], rank) for t, rank in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
-        unsafe = {part for left, right, rank in rows for part in (left, right) if rank < part}
         left, right, rank = (pa.array(c, pa.int32()) for c in zip(*rows, strict=True))
         pair = pa.array([a * 1048576 + b for a, b, _ in rows], pa.int64())
-        safe = pa.array([r not in unsafe for _, _, r in rows])
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "120MB", "temp_directory": ""})
-        self._table("merges", l=left, r=right, rank=rank, safe=safe, pair=pair)
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
+        self._table("merges", l=left, r=right, rank=rank, pair=pair)
         self._table("vocabulary", tok=pa.array(list(self.ranks.values()), pa.int32()), hex=pa.array([t.hex() for t in self.ranks]))
         self.byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
+        self.size = np.zeros(max(self.ranks.values()) + 1, np.int64)
+        self.size[list(self.ranks.values())] = list(map(len, self.ranks))
         self.units, self.words = KnownWords(2), KnownWords(2)
 
     def _table(self, name: str, **columns: pa.Array) -> None:
@@ -121,21 +101,76 @@ class SqlBpe:
         whole = self.ranks.get
         out: list = [None if (x := whole(w)) is None else x.to_bytes(4, "little") for w in words]
         todo = [i for i, x in enumerate(out) if x is None]
-        for long in (False, True):
-            mine = [i for i in todo if (len(words[i]) > LONG_WORD) == long]
-            for part in _portions(mine, [len(words[i]) for i in mine]):
-                self._table("bytes", **self._rows([words[i] for i in part], 1, self.byte.__getitem__))
-                if long:
-                    got = self.db.sql(ENCODE_LONG).to_arrow_table()
-                    cuts = np.searchsorted(got["word"].to_numpy(), np.arange(len(part) + 1)).tolist()
-                    data = got["tok"].to_numpy().astype("<u4").tobytes()
-                else:
-                    toks = self.db.sql(ENCODE).to_arrow_table()["toks"].combine_chunks()
-                    cuts, data = toks.offsets.to_pylist(), toks.values.to_numpy().astype("<u4").tobytes()
-                for k, i in enumerate(part):
-                    out[i] = data[4 * cuts[k] : 4 * cuts[k + 1]]
+        short = [i for i in todo if len(words[i]) <= PIECE]
+        for i, x in zip(short, self._contracted([words[i] for i in short]), strict=True):
+            out[i] = x
+        for i in todo:
+            if len(words[i]) > PIECE:
+                out[i] = self._joined(words[i])
+        return out
+
+    def _contracted(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words by the recursive query, as many at once as its memory allows."""
+        out = []
+        for part in _portions(list(range(len(words))), [len(w) for w in words]):
+            self._table("bytes", **self._rows([words[i] for i in part], 1, self.byte.__getitem__))
+            toks = self.db.sql(ENCODE).to_arrow_table()["toks"].combine_chunks()
+            cuts, data = toks.offsets.to_pylist(), toks.values.to_numpy().astype("<u4").tobytes()
+            out += [data[4 * a : 4 * b] for a, b in zip(cuts, cuts[1:], strict=False)]
         return out
 
+    def _placed(self, parts: list[bytes], starts: list[int]) -> list[list[tuple[int, int]]]:
+        """(byte, token) of each token of parts that begin at the bytes given."""
+        out = []
+        for at, ids in zip(starts, self._contracted(parts), strict=True):
+            toks = np.frombuffer(ids, "<u4")
+            out.append(list(zip((at + np.cumsum(self.size[toks]) - self.size[toks]).tolist(), toks.tolist(), strict=True)))
+        return out
+
+    def _joined(self, word: bytes) -> bytes:
+        """Ids of a long word, from its pieces."""
+        cuts = list(range(0, len(word), PIECE))
+        if len(word) - cuts[-1] < BEFORE + AFTER:
+            cuts.pop()
+        pieces = self._placed([word[a:b] for a, b in zip(cuts, [*cuts[1:], len(word)], strict=True)], cuts)
+        anchors = [next((x for x in reversed(p) if x[0] <= end - BEFORE), p[0]) for p, end in zip(pieces, cuts[1:], strict=False)]
+        lefts = [a for a, _ in anchors]
+        seams = self._placed([word[a : b + AFTER] for a, b in zip(lefts, cuts[1:], strict=True)], lefts)
+        again = [i for i, s in enumerate(seams) if _meeting(s, pieces[i + 1]) is None]
+        for i, s in zip(again, self._placed([word[lefts[i] : cuts[i + 1] + PIECE] for i in again], [lefts[i] for i in again]), strict=True):
+            seams[i] = s  # up to the end of the piece
+        out = list(pieces[0])  # each two neighbours in it are encoded as they stand
+        k = 1  # the next piece
+        while k < len(pieces):
+            anchor, seam = anchors[k - 1], seams[k - 1]
+            back, met = _place(out, anchor), _meeting(seam, pieces[k])
+            if back is None or met is None or out[-1] != pieces[k - 1][-1] or seam[0] != anchor:
+                k = self._swept(word, out, pieces, k)
+                continue
+            out[back:] = seam[: met[0]] + pieces[k][met[1] :]
+            k += 1
+        return np.fromiter((t for _, t in out), "<u4", len(out)).tobytes()
+
+    def _swept(self, word: bytes, out: list[tuple[int, int]], pieces: list[list[tuple[int, int]]], k: int) -> int:
+        """Encodes on from the last tokens of ``out`` until a window meets piece ``k`` or a later one; gives the next piece's number."""
+        end = pieces[k][0][0]  # of what ``out`` covers
+        while end < len(word):
+            far, back = min(len(word), end + SWEEP), len(out) - 1
+            while back and out[back][0] > end - BEFORE:
+                back -= 1
+            (window,) = self._placed([word[out[back][0] : far]], [out[back][0]])
+            while window[0] != out[back]:  # the first token of all is always right
+                back = max(0, back - 8)
+                (window,) = self._placed([word[out[back][0] : far]], [out[back][0]])
+            for i, x in enumerate(window):
+                while k + 1 < len(pieces) and pieces[k + 1][0][0] <= x[0]:
+                    k += 1
+                if (j := _place(pieces[k], x)) is not None:
+                    out[back:] = window[:i] + pieces[k][j:]
+                    return k + 1
+            out[back:], end = window, far
+        return len(pieces)
+
     def decode_words(self, ids: list[bytes]) -> list[bytes]:
         """Bytes of each id sequence."""
         out = []
@@ -172,6 +207,20 @@ class SqlBpe:
         return ids, data
 
 
+def _place(tokens: list[tuple[int, int]], token: tuple[int, int]) -> int | None:
+    """Where a token stands among tokens in order of their bytes."""
+    i = bisect_left(tokens, token)
+    return i if i < len(tokens) and tokens[i] == token else None
+
+
+def _meeting(seam: list[tuple[int, int]], piece: list[tuple[int, int]]) -> tuple[int, int] | None:
+    """The first token that both have, as its places."""
+    for i, x in enumerate(seam):
+        if x[0] >= piece[0][0] and (j := _place(piece, x)) is not None:
+            return i, j
+    return None
+
+
 def _slices(made: pa.Array, rows: np.ndarray, starts: np.ndarray) -> list[bytes]:
     """The values of rows joined for each run of rows from one start to the next."""
     data, offsets = in_order(made, rows)
@@ -210,7 +259,9 @@ def encode_decode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_
     """(id, ids, decoded): little-endian unsigned 32-bit ids of each text, and the bytes that they decode to.
 
     Null texts are empty texts, which have no ids. Rows without an id and rows
-    that repeat give a row each. Special tokens' names in a text are ordinary text.
+    that repeat give a row each; other columns, whatever their names, are not
+    read. Special tokens' names in a text are ordinary text. Words of any length
+    are encoded, in pieces of bounded size. An empty table gives an empty result.
     """
     prepare(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
