@@ -15,13 +15,11 @@ from tokenizers import Tokenizer
 from tributary.llm import bpe_sql, packing, token_files
 from tributary.llm.tokens import WordIds
 
-ODD = ["", None, " a", "a ", "a  b", "a\n\nb", "x \n y", "tab\tb", "no break", "<|endoftext|> hi", "a\r\nb", "é ü", "§ ~ §a ¬", "\n", "  ", "a\n", "it's 12 34\nfoo's\nA", "İstanbul ΣΑΣ", "\x00 b\x1cc", "ab " * 5 + "c", "don't\nDON'T ﬁ Å", "foo...!?", "日本語。", "a_b x1", "aaaaaaaaaaaaaaaaaaaa" * 30]
+ODD = ["", None, " a", "a ", "a  b", "a\n\nb", "x \n y", "tab\tb", "no break", "<|endoftext|> hi", "A <|startoftext|>b<|EndOfText|>", "a\r\nb", "é ü", "§ ~ §a ¬", "\n", "  ", "a\n", "it's 12 34\nfoo's\nA", "İstanbul ΣΑΣ", "\x00 b\x1cc", "ab " * 5 + "c", "don't\nDON'T ﬁ Å", "foo...!?", "日本語。", "a_b x1", "aaaaaaaaaaaaaaaaaaaa" * 30]
 
 
 def library(name):
-    t = Tokenizer.from_file(P.path(name))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(P.path(name))
 
 
 @pytest.fixture(scope="module")
@@ -49,6 +47,14 @@ def test_word_ids_of_any_text(texts):
         assert ids_of(coder, texts) == [lib.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|endof", "text|>", " ", "  ", "\n", "a", "see", "É", "."]), max_size=8).map("".join), max_size=4))
+def test_added_tokens_have_the_library_s_ids(texts):
+    for name, level in (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)):
+        coder, lib = _cached(name, level)
+        assert ids_of(coder, texts) == [lib.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 _kept: dict = {}
 
 
@@ -76,6 +82,28 @@ def test_sql_bpe_equals_tiktoken(bpe):
     assert data == [(t or "").encode() for t in texts]
 
 
+def test_long_words_equal_tiktoken(bpe):
+    b, e = bpe
+    r = random.Random(7)
+    letters = lambda alphabet, n: "".join(r.choice(alphabet) for _ in range(n))
+    texts = [letters("etaoinshrdlucmfwypvbgkjqxz", 12_000), "a" * 5_001, "ab" * 2_000 + "b", "0" * 4_099, "=" * 3_000, "-=" * 1_500, letters([chr(c) for c in range(0x4E00, 0x9FA5)], 3_000), letters("0123456789", 4_000), letters("ACGT", 4_000)]
+    ids, data = b.coded(texts)
+    assert [np.frombuffer(x, "<u4").tolist() for x in ids] == [e.encode_ordinary(t) for t in texts]
+    assert data == [t.encode() for t in texts]
+
+
+def test_pieces_of_any_word_join(bpe, monkeypatch):
+    """Tiny pieces, so that seams fail to meet and the sweep goes on."""
+    b, e = bpe
+    for name, n in (("PIECE", 8), ("BEFORE", 3), ("AFTER", 4), ("SWEEP", 9)):
+        monkeypatch.setattr(bpe_sql, name, n)
+    r = random.Random(8)
+    for _ in range(60):
+        alphabet = r.choice(["ab", "abc", "einrst", "a", "=-", "é日", "0123", "the"])
+        t = "".join(r.choice(alphabet) for _ in range(r.randint(9, 120)))
+        assert np.frombuffer(b.coded([t])[0][0], "<u4").tolist() == e.encode_ordinary(t), t
+
+
 def test_bpe_report(spark, bpe):
     texts = [*ODD, ODD[4]]
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("ids", F.lit(1))

@@ -5,7 +5,8 @@ its words' ids one after the other. Arrow splits a batch of texts and numbers
 its distinct words; a worker keeps the ids of words it has seen (a bounded
 table, emptied when full), and only new words go to the library, many in one
 string around a separator. Texts for which a split at white space could differ
-from the library's own go to it whole.
+from the library's own go to it whole, and so do texts that hold the string of
+an added token, which the library gives that token's id.
 """
 
 from __future__ import annotations
@@ -94,7 +95,6 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
         self.library.no_truncation()
         self.byte_level = byte_level
         #: A string that is one id wherever it stands between words.
@@ -103,6 +103,8 @@ class WordIds:
         self.model = self.library.model
         #: The ids of a line's end, which a unit may begin with.
         self.line = self._encode("\n").tobytes()
+        #: Strings that the library takes for tokens of their own, wherever they stand.
+        self.added = sorted({t.content.lower() for t in self.library.get_added_tokens_decoder().values()})
         self.known = KnownWords()
         self.marks: dict[str, bytes] = {}
 
@@ -165,7 +167,11 @@ class WordIds:
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        lists, whole = self._units(texts)
+        own_tokens = pa.array(np.zeros(len(texts), bool))
+        for token in self.added:
+            own_tokens = pc.or_(own_tokens, pc.match_substring(texts, token, ignore_case=True))
+        lists, whole = self._units(pc.if_else(own_tokens, pa.scalar("", pa.large_string()), texts))
+        whole = pc.or_(whole, own_tokens)
         words = lists.flatten().dictionary_encode()
         index, (made,) = self.known.find(words.dictionary, lambda new: [self._learn(new)])
         data, offsets = in_order(made, index[words.indices.to_numpy(zero_copy_only=False)])
