@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -96,6 +97,48 @@ def test_main_text():
         assert isinstance(H.main_text(broken), str)
 
 
+NEWS = """<html><body><div id="masthead" class="site-header"><a href="/">The Paper</a> <span>Daily, since 1900.</span></div>
+<div role="navigation"><a href="/w">World</a><a href="/m">Markets</a></div><main class="story"><h1>Shares rise</h1>
+<p class="share-price">Shares rose today, he said.</p><p class="subscribe">We subscribe to this view, for now; it may change.</p>
+<div class="share-bar"><a href="#">Share</a> <a href="#">Mail</a></div><p>Prices of bread, milk and oil rose as well, by 3&nbsp;% or so.</p>
+<table><thead><tr><th>Good<th>Rise<tbody><tr><td>Bread<td>2<tr><td>Milk<td>4</table><p>More is to come, they say. Nobody knows.</p>
+<section class="comments"><h3>Comments</h3><p>Nonsense, all of it.</p></section></main>
+<div class="related"><h3>Related</h3><p>Old news, of old times.</p></div><footer>About, contact.</footer></body></html>"""
+WIKI = """<body class="mw"><div id="content"><h1>Bee</h1><p>A bee is an insect, and it flies; it makes honey, wax and noise.</p>
+<h2>Kinds</h2><ul><li>Honey bee, kept by man.</li><li>Bumble bee, which is not.</li></ul><table class="facts"><tr><td>Legs</td><td>6</td></tr><tr><td>Wings</td><td>4</td></tr></table>
+<p>Bees see colours, but not red. Their sight is good, and so is their smell.</p></div>
+<div id="sidebar"><ul><li><a href="/r">Random page</a></li><li><a href="/h">Help</a></li></ul></div><div class="footer-links"><a href="/p">Privacy</a></div></body>"""
+BLOG = """<div class=wrap><div class=top><a href=/>Home</a> | <a href=/a>About</a></div><div class=post><div class=t>On soup</div>
+<div class=b>Soup is hot, mostly. I cook it on Sundays, when it rains; then we eat.<br>All of it.</div><div class=b>Cold soup is soup, too, though few agree with that, and fewer cook it.</div></div>
+<div class=comment-list><div class=comment>First! Nice soup, really.</div></div><form><input name=q><button>Go</button></form></div>"""
+
+
+def test_other_templates():
+    assert H.main_text(NEWS) == "Shares rise\nShares rose today, he said.\nWe subscribe to this view, for now; it may change.\nPrices of bread, milk and oil rose as well, by 3 % or so.\nGood\nRise\nBread\n2\nMilk\n4\nMore is to come, they say. Nobody knows."
+    assert H.main_text(WIKI) == "Bee\nA bee is an insect, and it flies; it makes honey, wax and noise.\nKinds\nHoney bee, kept by man.\nBumble bee, which is not.\nLegs\n6\nWings\n4\nBees see colours, but not red. Their sight is good, and so is their smell."
+    assert H.main_text(BLOG) == "On soup\nSoup is hot, mostly. I cook it on Sundays, when it rains; then we eat. All of it.\nCold soup is soup, too, though few agree with that, and fewer cook it."
+
+
+def test_large_tables_stay_in_their_article():
+    cells = "".join(f"<tr><td>n{i}</td><td>{i}</td></tr>" for i in range(3000))
+    text = H.main_text(f"<article><p>{'Some words, in a long paragraph. ' * 30}</p><table>{cells}</table></article>")
+    assert text.count("\n") == 6000
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "".join(f"<p class='{i:b}x q{'abcdefghij'[i % 10]}'>Some text.</p>" for i in range(30_000)), "<div>" * 30_000 + "x", "".join(f"<div>t{i}, x." for i in range(30_000)), "<b>" * 30_000 + "x" + "</u>" * 30_000,
+        "<a " * 300_000, "<a \"" * 150_000 + ">x", "<div " + "a" * 300_000 + ">x", "<!--" * 100_000, "<script>" * 50_000, "<ul><li>" * 20_000,
+    ],
+    ids=["classes", "levels", "text at levels", "end tags", "no end", "quotes", "attribute", "comments", "scripts", "lists"],
+)
+def test_time_follows_length(page):
+    start = time.monotonic()
+    H.main_text(page)
+    assert time.monotonic() - start < 10
+
+
 def test_extract_report(spark):
     d = spark.createDataFrame([(1, "u", PAGE), (2, None, None), (None, "v", ""), (1, "u", PAGE), (3, "w", "<p>" + "é, " * 50_000)], "page_id long, url string, html string").withColumn("text", F.lit(1))
     rows = H.extract_report(d).collect()
