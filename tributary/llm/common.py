@@ -96,6 +96,26 @@ def discard_all(spark: SparkSession) -> None:
     """Delete every table that :func:`stored` wrote: for callers that have written what they read from them."""
     for df in spark.sparkContext.__dict__.pop("_tributary_tables", []):
         discard(df)
+    gc.collect()
+    spark._jvm.System.gc()  # Spark deletes shuffle files of plans that nothing holds any more
+
+
+#: Rows of one key that a join may always send to one task.
+SMALL_KEY = 500
+
+
+def handed(rows: DataFrame, facts: DataFrame, on: list[str], count: str, total: int) -> DataFrame:
+    """``rows`` inner-joined with ``facts``, which has one row per key and in ``count`` at least the rows of that key.
+
+    ``total`` is at least the sum of ``count``. Keys of more than total / (4 x
+    partitions) rows are at most 4 x partitions, whatever the data: their facts
+    are broadcast, and their rows, of which one task would read too many, stay
+    where they are. The other keys' rows are joined by a shuffle.
+    """
+    bound = max(SMALL_KEY, total // (4 * partitions(rows.sparkSession)))
+    hot = F.broadcast(facts.filter(F.col(count) > bound))
+    cold = facts.filter(F.col(count) <= bound)
+    return rows.join(hot, on).unionByName(rows.join(hot.select(*on), on, "left_anti").join(cold, on))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -21,13 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tributary.llm.common import partitions, prepare, stored
+from tributary.llm.common import handed, partitions, prepare, stored
 from tributary.llm.components import connected_components
 
 COSINE = 0.98
 PASSES, BITS, WINDOW = 16, 48, 48
 #: Members of a component that one block of the full comparison holds.
 BLOCK = 512
+#: Windows that a range of the order holds at least.
+RANGE = 64
 SEED = 7
 
 
@@ -159,7 +161,9 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     reaches the threshold. Vectors that are null, empty, zero or hold null or
     non-finite components, and rows without an id or a label, link with nothing
     (such a row is its own component). Vectors of different lengths don't link.
-    Equal vectors link, also where a whole row repeats. An empty table gives an
+    Equal vectors link, also where a whole row repeats; rows that repeat an id with
+    other vectors are vectors of their own. Ties have no part in the result.
+    Other columns, whatever their names, are not read. An empty table gives an
     empty result.
     """
     spark = prepare(vectors.sparkSession)
@@ -167,25 +171,33 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     src = vectors.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
     units = src.mapInArrow(_vector_rows, f"id {kind}, label {label_kind}, unit binary").withColumn("sha", F.sha2("unit", 256))
     rows = stored(units.withColumn("sha", F.when(F.col("id").isNotNull(), F.col("sha"))), "units")
-    nodes = rows.filter("sha is not null").groupBy("label", "sha").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("n"), F.first("unit").alias("unit"))
-    nodes = stored(nodes, "nodes")
-    passes = nodes.select(F.col("node").cast("long"), "label", "unit").mapInArrow(_pass_rows, f"turn int, label {label_kind}, key long, node long, unit binary")
+    total = rows.count()
+    nodes = rows.filter("sha is not null").groupBy("label", "sha").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n"), F.first("unit").alias("unit"))
+    # A node's number is a value once written, and tells apart vectors of one id.
+    nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    passes = nodes.select("node", "label", "unit").mapInArrow(_pass_rows, f"turn int, label {label_kind}, key long, node long, unit binary")
     order = ["turn", "label", "key", "node"]
-    edges = passes.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).mapInArrow(_window_pairs(cosine, WINDOW), "a long, b long")
+    # A range's end cuts a window, so ranges are long beside it.
+    ranges = max(1, min(partitions(spark), nodes.count() * PASSES // (RANGE * WINDOW)))
+    edges = passes.repartitionByRange(ranges, *order).sortWithinPartitions(*order).mapInArrow(_window_pairs(cosine, WINDOW), "a long, b long")
     cc = stored(connected_components(edges), "vectorcc")
     roots = cc.select("component").distinct()
-    member = cc.unionByName(roots.select(F.col("component").alias("node"), "component"))
+    member = stored(cc.unionByName(roots.select(F.col("component").alias("node"), "component")), "members")
     sizes = member.groupBy("component").agg(F.count(F.lit(1)).alias("m"))
-    held = member.join(sizes, "component").join(nodes, "node").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
+    held = handed(member, sizes, ["component"], "m", total).join(nodes, "node").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
     held = held.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     met = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "n", "unit"
     )
     groups = ["component", "i", "j"]
     links = met.repartition(*groups).sortWithinPartitions(*groups).mapInArrow(_full_links(cosine), "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
-    per_node = nodes.select("label", "sha", "node", "n").join(member, "node", "left").join(links, "node", "left")
-    per_node = per_node.select("label", "sha", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component"))
-    return rows.select("id", "label", "sha").join(per_node, ["label", "sha"], "left").select("id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce(F.col("component"), F.col("id").cast("long")).alias("component"))
+    per_node = nodes.select("label", "sha", "node", "low", "n").join(member, "node", "left").join(links, "node", "left")
+    per_node = stored(per_node.select("label", "sha", "n", "low", F.coalesce("component", "node").alias("root"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "counts")
+    name = per_node.groupBy("root").agg(F.min("low").alias("component"), F.count(F.lit(1)).alias("m"))
+    facts = stored(handed(per_node, name, ["root"], "m", total).select("label", "sha", "n", "n_links", "component"), "names")
+    found = handed(rows.filter("sha is not null").select("id", "label", "sha"), facts, ["label", "sha"], "n", total).select("id", "n_links", "component")
+    alone = rows.filter("sha is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"))
+    return found.unionByName(alone).select("id", "n_links", F.col("component").cast("long").alias("component"))
 
 
 def near_vectors_report(vectors: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tributary.llm.common import claim, prepare, squeezed, stored
+from tributary.llm.common import claim, handed, prepare, squeezed, stored
 
 PRIMES = (2147483647, 2147483629)
 BASE = 1_000_003
@@ -169,8 +169,9 @@ def exact_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     all_rows = stored(fingerprints(texts), "fp")
     group = ["h1", "h2", "bytes"]
     counted = all_rows.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.min_by(F.struct("id", "sha"), F.struct(F.col("id").isNull(), "id", "sha")).alias("lead"))
+    total = all_rows.count()
     many = counted.filter("n > 1").select(*group, "n", F.col("lead.id").alias("first"), F.col("lead.sha").alias("first_sha"))
-    open_rows = all_rows.join(many, group).select("id", "sha", *group, "first", "first_sha", "n").distinct()
+    open_rows = handed(all_rows, many, group, "n", total).select("id", "sha", *group, "first", "first_sha", "n").distinct()
     done, turn = [], 0
     while True:
         seen = stored(_compared(open_rows, texts), f"same{turn}")
@@ -181,14 +182,14 @@ def exact_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             break
         lead = other.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.min_by(F.struct("id", "sha"), F.struct(F.col("id").isNull(), "id", "sha")).alias("lead"))
         lead = lead.select(*group, "n", F.col("lead.id").alias("first"), F.col("lead.sha").alias("first_sha"))
-        open_rows, turn = stored(other.join(lead, group), f"open{turn}"), turn + 1
+        open_rows, turn = stored(handed(other, lead, group, "n", total), f"open{turn}"), turn + 1
     if turn == 0:  # no two texts share a fingerprint without being equal
-        return all_rows.join(counted.select(*group, "n", F.col("lead.id").alias("keep_id")), group).select("id", "sha", "keep_id", F.col("n").alias("group_size"))
+        return handed(all_rows, counted.select(*group, "n", F.col("lead.id").alias("keep_id")), group, "n", total).select("id", "sha", "keep_id", F.col("n").alias("group_size"))
     classes = reduce(DataFrame.unionByName, done).withColumnsRenamed({"id": "cid", "sha": "csha"}).drop(*group)
     tagged = all_rows.join(classes, F.col("id").eqNullSafe(F.col("cid")) & (F.col("sha") == F.col("csha")), "left").withColumn("turn", F.coalesce("turn", F.lit(0)))
     tagged = stored(tagged.select("id", "sha", *group, "turn"), "classes")
     sizes = tagged.groupBy(*group, "turn").agg(F.count(F.lit(1)).alias("group_size"), F.min("id").alias("keep_id"))
-    return tagged.join(sizes, [*group, "turn"]).select("id", "sha", "keep_id", "group_size")
+    return handed(tagged, sizes, [*group, "turn"], "group_size", total).select("id", "sha", "keep_id", "group_size")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

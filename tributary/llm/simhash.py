@@ -10,7 +10,9 @@ triangle inequality a pair whose distances to some pivot differ by more than
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -19,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tributary.llm.common import claim, prepare, stored
+from tributary.llm.common import claim, handed, prepare, stored
 from tributary.llm.components import connected_components
 
 SEED = 42
@@ -187,11 +189,13 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     gives an empty result.
     """
     marks = stored(fingerprints(docs, id_col, text_col, words), "simhash")
-    distinct = stored(marks.groupBy("fp").agg(F.min("id").alias("low")), "simfp")
+    distinct = stored(marks.groupBy("fp").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n")), "simfp")
+    total = marks.count()
     cc = connected_components(linked_fingerprints(distinct.select("fp")))
-    named = stored(distinct.join(cc, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("component", "fp").alias("root")), "simcc")
-    name = named.groupBy("root").agg(F.min("low").alias("component"))
-    return marks.join(named.select("fp", "root").join(name, "root"), "fp").select("id", "fp", "component")
+    named = stored(distinct.join(cc, F.col("fp") == F.col("node"), "left").select("fp", "low", "n", F.coalesce("component", "fp").alias("root")), "simcc")
+    name = named.groupBy("root").agg(F.min("low").alias("component"), F.count(F.lit(1)).alias("fps"))
+    facts = handed(named.select("fp", "n", "root"), name, ["root"], "fps", total)
+    return handed(marks, facts.select("fp", "n", "component"), ["fp"], "n", total).select("id", "fp", "component")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
@@ -214,15 +218,38 @@ def near_dedup_report(docs: DataFrame) -> DataFrame:
 # Near copies by a similarity of shingle sets: too many bits differ for every pair to share bit blocks, so wide
 # fingerprints give many keys, and the shingle sets themselves decide.
 
-#: 64-bit words of a wide fingerprint, keys drawn from its bits, and bits of a key (more rows want longer keys).
+#: 64-bit words of a wide fingerprint, and the keys drawn from its bits and bits of a key for a table of few rows.
 WIDE, KEYS, KEY_BITS = 8, 64, 16
+#: Rows that a key value holds of evenly spread texts; more rows in all take longer keys, and more of them for the same recall.
+ROWS_PER_KEY = 16
+#: Likelihood that a bit is the same in two texts of similarity 0.8.
+SAME_BIT = 0.86
 #: Differing bits of the first word up to which a pair is looked at: about three deviations beyond what 0.8 gives.
 RADIUS = 18
+#: Differing bits of the wide fingerprint up to which a pair's shingle sets are looked at: 77 on average at 0.8, some 140 at 0.5.
+WIDE_RADIUS = 124
 #: Rows of a key that each row is compared with in the first round, beside the key's first; the second compares all.
 NEIGHBOURS = 32
 
 _MIX = np.random.default_rng(21).integers(0, 2**63, WIDE, np.uint64) * np.uint64(2) + np.uint64(1)
-_CHOSEN = np.concatenate([np.random.default_rng([22, i]).permutation(64 * WIDE) for i in range(KEYS * KEY_BITS // (64 * WIDE))]).reshape(KEYS, KEY_BITS)
+
+
+def key_plan(rows: int) -> tuple[int, int]:
+    """(keys, bits of a key) for a table of so many rows: a pair at 0.8 shares about ``KEYS * SAME_BIT ** KEY_BITS`` keys at every size."""
+    bits = max(KEY_BITS, min(48, math.ceil(math.log2(max(1, rows) / ROWS_PER_KEY))))
+    return math.ceil(KEYS * SAME_BIT ** (KEY_BITS - bits)), bits
+
+
+@lru_cache(maxsize=4)
+def _chosen(keys: int, bits: int) -> np.ndarray:
+    """The bits of each key: different ones within a key, and all bits used alike."""
+    out, at = np.empty((keys, bits), np.int64), 0
+    order = np.zeros(0, np.int64)
+    for k in range(keys):
+        if len(order) < bits:
+            order, at = np.random.default_rng([22, at]).permutation(64 * WIDE), at + 1
+        out[k], order = order[:bits], order[bits:]
+    return out
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -265,17 +292,21 @@ def _wide_rows(words: int):
     return run
 
 
-def _wide_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _wide_keys(keys: int, bits: int):
     """(wide, columns) -> a row (key, fp, columns) for each key of a fingerprint."""
-    weights = (1 << np.arange(KEY_BITS)).astype(np.int64)
-    for batch in batches:
-        if not len(batch):
-            continue
-        wide = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(len(batch), -1)
-        keys = (np.unpackbits(wide, axis=1, bitorder="little")[:, _CHOSEN] @ weights) | (np.arange(KEYS, dtype=np.int64) << KEY_BITS)
-        owner = pa.array(np.repeat(np.arange(len(batch)), KEYS))
-        fp = np.repeat(wide[:, :8].copy().view("<i8")[:, 0], KEYS)
-        yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(fp), *(c.take(owner) for c in batch.columns[1:])], ["key", "fp", *batch.schema.names[1:]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, chosen = 1 << np.arange(bits, dtype=np.int64), _chosen(keys, bits)
+        for whole in batches:
+            for at in range(0, len(whole), 500):
+                batch = whole.slice(at, 500)
+                wide = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(len(batch), -1)
+                key = (np.unpackbits(wide, axis=1, bitorder="little")[:, chosen] @ weights) | (np.arange(keys, dtype=np.int64) << bits)
+                owner = pa.array(np.repeat(np.arange(len(batch)), keys))
+                fp = np.repeat(wide[:, :8].copy().view("<i8")[:, 0], keys)
+                yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1)), pa.array(fp), *(c.take(owner) for c in batch.columns[1:])], ["key", "fp", *batch.schema.names[1:]])
+
+    return run
 
 
 def _candidates(radius: int):
@@ -408,6 +439,14 @@ def _set_rows(words: int):
     return run
 
 
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, wide of a, wide of b) -> the pairs within the radius of the wide fingerprint."""
+    for batch in batches:
+        x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u8").reshape(len(batch), -1) for i in (2, 3))
+        near = np.bitwise_count(x ^ y).sum(axis=1) <= WIDE_RADIUS
+        yield batch.select(["a", "b"]).filter(pa.array(near))
+
+
 def _verified(similarity: float):
     """(a, b, set of a, set of b) -> the pairs of enough similarity."""
 
@@ -434,12 +473,13 @@ def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     In a first round each document proposes one partner per key. One proposal of
     each document is verified first; of the others only those that would join two
     components. A second round verifies every other pair of a key within the
-    radius whose documents are still in two components.
+    radii whose documents are still in two components.
     """
     prepare(docs.sparkSession)
     rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     marks = stored(rows.mapInArrow(_wide_rows(words), "id long, wide binary"), "wide")
-    keys = marks.select("wide", "id").mapInArrow(_wide_keys, "key long, fp long, id long")
+    to_keys = _wide_keys(*key_plan(marks.count()))
+    keys = marks.select("wide", "id").mapInArrow(to_keys, "key long, fp long, id long")
     pairs = stored(keys.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_candidates(RADIUS), "a long, b long").groupBy("a", "b").agg(F.count(F.lit(1)).alias("times")), "proposals")
 
     def sets_of(some: DataFrame) -> DataFrame:
@@ -457,6 +497,11 @@ def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             some = some.join(c, side, "left").withColumn(f"c{side}", F.coalesce(f"c{side}", side))
         return some.filter("ca <> cb").select("a", "b")
 
+    def alike(some: DataFrame) -> DataFrame:
+        for side, wide in (("a", "x"), ("b", "y")):
+            some = some.join(marks.select(F.col("id").alias(side), F.col("wide").alias(wide)), side)
+        return some.select("a", "b", "x", "y").mapInArrow(_alike, "a long, b long")
+
     sets = sets_of(pairs)
     best = stored(pairs.groupBy("b").agg(F.max_by("a", F.struct("times", -F.col("a"))).alias("a")).select("a", "b"), "best")
     sure = verified(best, sets)
@@ -465,9 +510,9 @@ def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     cc = connected_components(links).select(F.col("node").alias("id"), "component")
     placed = marks.join(cc, "id", "left").select("wide", "id", F.coalesce("component", "id").alias("component"))
-    parts = _in_parts(placed.mapInArrow(_wide_keys, "key long, fp long, id long, component long"), max_table)
+    parts = _in_parts(placed.mapInArrow(to_keys, "key long, fp long, id long, component long"), max_table)
     every = parts.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(_all_candidates(RADIUS), "a long, b long").distinct()
-    rest = stored(every.join(best.unionByName(other), ["a", "b"], "left_anti"), "rest")
+    rest = stored(alike(every.join(best.unionByName(other), ["a", "b"], "left_anti")), "rest")
     return links.unionByName(verified(rest, sets_of(rest)))
 
 
