@@ -25,8 +25,10 @@ def test_citations(spark):
     assert C.cite(SQL, "id", "day", "SORT") == C.Place(9, 9, "line")
     missing = C.cite(SQL, "id", "nope", "GROUP_BY")
     assert missing.level == "model" and missing.reason
-    assert C.line_map("a\n{{ x }}\nb", "a\nselect 1\nb") == [(1, 1), (2, 2), (3, 3)]
-    assert C.line_map("a\n{% for %}\nb", "a\n1\n2\n3\nb") == [(1, 1), (2, 2), (2, 2), (2, 2), (3, 3)]
+    assert C.source_lines("a\n{{ x }}\nb", "a\nselect 1\nb") == [(1, 1), (2, 2), (3, 3)]
+    assert C.source_lines("a\n{% for %}\nb", "a\n1\n2\n3\nb") == [(1, 1), (2, 2), (2, 2), (2, 2), (3, 3)]
+    assert C.source_lines("x\nx\na\nx", "x\na\nx\nx\nnew") == [(1, 1), (3, 3), (4, 4), None, None]
+    assert C.source_lines("", "a") == [None] and C.source_lines("a\nb", "b") == [(2, 2)]
     assert [(a, b) for a, b, _ in C.excerpt(SQL, [(1, 1), (3, 3), (9, 9)], 1)] == [(1, 4), (8, 9)]
     df = spark.createDataFrame([("f", 1, 3), ("f", 4, 5), ("f", 8, 9), ("g", 2, 2)], "file string, first int, last int")
     assert sorted(map(tuple, C.merged_intervals(df, "file").collect())) == [("f", 1, 5), ("f", 8, 9), ("g", 2, 2)]
@@ -47,7 +49,7 @@ def graph(spark):
     return direct, spark.createDataFrame([("stg.a", "fct.d", "FILTER")], "`from` string, `to` string, type string")
 
 
-def test_answers(graph):
+def test_answers(spark, graph):
     direct, indirect = graph
     ask = lambda q: A.answer(q, direct, indirect)
     assert ask("Where does fct.b come from?")["found"] == [(1, "stg.a"), (2, "raw.a")]
@@ -58,7 +60,9 @@ def test_answers(graph):
     no = ask("Does fct.d affect raw.a?")
     assert no["verdict"] == "no" and no["reverse"]
     assert ask("Where does no.such come from?")["verdict"] == "refused"
-    assert A.layer("fct_x") == "marts" and A.layer("x", "seed") == "raw" and A.layer("x", file="models/staging/a/x.sql") == "staging"
+    nodes = [("fct_x", "model", None), ("x", "seed", ""), ("y", "model", "models/staging/a/y.sql"), ("z", "model", "staging/models/marts\\deep/z.sql"), ("w", "model", "models/w.sql"), ("int_v", "model", "models/other/int_v.sql")]
+    got = {r["name"]: r["layer"] for r in A.with_layers(spark.createDataFrame(nodes, "name string, kind string, file string")).collect()}
+    assert got == {"fct_x": "marts", "x": "raw", "y": "staging", "z": "marts", "w": None, "int_v": "intermediate"}
     assert '"raw.a" -> "stg.a"' in A.dot(A.G.hops(direct))
 
 

@@ -6,6 +6,11 @@ import pytest
 from tributary.plans import graph as G
 
 
+@pytest.fixture(params=[G.LOCAL_EDGES, 0], ids=["collected", "looped"], autouse=True)
+def way(request, monkeypatch):
+    monkeypatch.setattr(G, "LOCAL_EDGES", request.param)
+
+
 def random_dag(seed):
     r = random.Random(seed)
     n = r.randint(4, 9)

@@ -47,10 +47,15 @@ def test_fusion_windows_and_recall(spark):
     assert retrieval.recall_at(a, gold, 2).first()["recall"] == 0.5
 
 
-def test_likeness():
-    assert linking.likeness(["order", "date"], ["order", "date"]) == pytest.approx(0.8)
-    assert linking.likeness([], ["x"]) == 0.0
-    assert linking.likeness(["ordr"], ["order"]) > 0.6 > linking.likeness(["abc"], ["xyz"])
+def test_fuzzy_scores(spark):
+    schema = "{} string, plain array<string>"
+    m = spark.createDataFrame([("order date", ["order", "date"]), ("none", []), ("ordr", ["ordr"]), ("abc", ["abc"]), ("ab", ["ab"]), ("a a", ["a", "a"])], schema.format("mention"))
+    c = spark.createDataFrame([("order_date", ["order", "date"]), ("order", ["order"]), ("xyz", ["xyz"]), ("acb", ["acb"]), ("a", ["a"])], schema.format("column_id"))
+    got = {(r["mention"], r["column_id"]): r["score"] for r in linking.fuzzy_scores(m, c).collect()}
+    assert got[("order date", "order_date")] == pytest.approx(0.8)
+    assert got[("ordr", "order")] == pytest.approx(0.8 * 8 / 9)
+    assert got[("ab", "acb")] == pytest.approx(0.8 * 0.8)  # no shared pair of characters but at the ends
+    assert set(got) == {("order date", "order_date"), ("ordr", "order"), ("ab", "acb")}  # "a a" has each token once: 2 of 3
 
 
 def test_link_ambiguity_and_metrics(spark):

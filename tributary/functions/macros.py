@@ -177,3 +177,48 @@ def cardinality_equality(a: DataFrame, column: str, b: DataFrame, field: str) ->
 
 def recency(df: DataFrame, column: str, since: Column) -> DataFrame:
     return df.agg(F.max(column).alias("most_recent")).filter(F.col("most_recent") < since)
+
+
+def group_by(df: DataFrame, n: int, *aggregates: Column) -> DataFrame:
+    """Aggregates by the first n columns."""
+    return df.groupBy(*df.columns[:n]).agg(*aggregates)
+
+
+def not_empty_string(df: DataFrame, column: str, trimmed: bool = True) -> DataFrame:
+    """Rows whose text is empty (white space counts as nothing, if asked)."""
+    return df.filter((F.trim(column) if trimmed else F.col(column)) == "")
+
+
+def expression_is_true(df: DataFrame, expression: str) -> DataFrame:
+    """Rows for which an SQL condition is false or unknown."""
+    return df.filter(~F.coalesce(F.expr(expression), F.lit(False)))
+
+
+def not_accepted_values(df: DataFrame, column: str, values: Sequence) -> DataFrame:
+    """The values, of those that may not occur, that do."""
+    return df.filter(F.col(column).isin(*values)).groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n_records"))
+
+
+def row_counts(a: DataFrame, b: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by, n_a, n_b): rows of both frames, per group."""
+    count = lambda df, name: df.groupBy(*by).agg(F.count(F.lit(1)).alias(name))
+    if not by:
+        return count(a, "n_a").crossJoin(count(b, "n_b"))  # one row each
+    both = count(a, "n_a").join(count(b, "n_b"), list(by), "full")
+    return both.withColumns({n: F.coalesce(n, F.lit(0).cast("long")) for n in ("n_a", "n_b")})
+
+
+def equal_rowcount(a: DataFrame, b: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Groups with other numbers of rows in the two frames."""
+    return row_counts(a, b, by).filter("n_a <> n_b")
+
+
+def fewer_rows_than(a: DataFrame, b: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Groups in which the first frame doesn't have fewer rows than the second."""
+    return row_counts(a, b, by).filter("n_a >= n_b")
+
+
+def running_size_guard(text: Column, key: str, order: str, most: int) -> Column:
+    """A text where all texts of its key up to and with it have at most ``most`` characters together, else null."""
+    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return F.when(F.sum(F.length(text)).over(w) <= most, text)

@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SEED = 20261019
+from tributary.tables import written
+
+# The seed of all draws, the steps of modes, and the word that no column has.
+SEED, STEP, SHIFT, NEW_WORD = 20261019, 1_000_003, 7.31, "zz_oracle"
+#: Rows among which a value may move in the mode that shuffles them.
+SHUFFLED_TOGETHER = 100_000
 
 
 def type_class(kind: T.DataType) -> str:
@@ -63,26 +68,51 @@ def perturbed(df: DataFrame, column: str, mode: str, key: str, seed: int = SEED)
     c, of, h = F.col(column), type_class(kind), half(F.col(key), column, mode, seed)
     if (of, mode) in (("integer", "break"),):
         top = df.agg(F.coalesce(F.max(column), F.lit(0)).alias("top")).first()["top"]
-        new = F.when(h & c.isNotNull(), F.lit(top + 7) + F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1_000_003))).otherwise(c)
+        new = F.when(h & c.isNotNull(), F.lit(top + 7) + F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(STEP))).otherwise(c)
     elif mode in ("remap_existing", "remap_new"):
         first = [r[column] for r in df.filter(c.isNotNull()).groupBy(column).count().orderBy(F.desc("count"), F.col(column).cast("string")).limit(2).collect()]
         if len(first) < (2 if mode == "remap_existing" else 1):
             return df
-        new = F.when(c == first[0], F.lit(first[1] if mode == "remap_existing" else "zz_oracle")).otherwise(c)
+        new = F.when(c == first[0], F.lit(first[1] if mode == "remap_existing" else NEW_WORD)).otherwise(c)
     elif mode == "null_out":
         new = F.when(~h, c)
+    elif mode == "shuffle":
+        return shuffled(df, column, key, seed)
     else:
         new = MODES[of][mode](c, h)
     return df.withColumn(column, new.cast(kind))
 
 
+def shuffled(df: DataFrame, column: str, key: str, seed: int = SEED) -> DataFrame:
+    """``df`` with the values of one column dealt out anew: rows fall into parts by a hash of their key, and within a part the k-th row by key takes the k-th value by another hash."""
+    parts = max(1, df.count() // SHUFFLED_TOGETHER)
+    part = F.pmod(F.xxhash64(F.lit(seed), F.col(key).cast("string")), F.lit(parts))
+    place = lambda *order: F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    rows = df.withColumn("__part", part)
+    drawn = rows.select("__part", F.col(column).alias("__new"), place(F.xxhash64(F.lit(seed + 1), F.col(key).cast("string")), key).alias("__k"))
+    placed = rows.withColumn("__k", place(key)).join(drawn, ["__part", "__k"])
+    return placed.select([F.col("__new").alias(c) if c == column else F.col(c) for c in df.columns])
+
+
+def modes_of(kind: T.DataType) -> list[str]:
+    """The modes that fit a type: those of its class, and the ones that fit every column."""
+    of = type_class(kind)
+    words = ["remap_existing", "remap_new"] if of == "string" else []
+    return [*MODES[of], *(["break"] if of == "integer" else []), *words, "null_out", "shuffle"]
+
+
+def end_to_end(spark: SparkSession, table: str, column: str, modes: list[str], key: str, models: dict[str, str], closure: DataFrame) -> DataFrame:
+    """(model, column, label, modes): what changes of a raw column change in all models, against the closure (model, column) that is expected of it."""
+    return local_check(spark, table, column, modes, key, models, closure)
+
+
 def _days(n: int) -> Column:
     return F.make_dt_interval(days=F.lit(n))
 
 
 MODES: dict[str, dict[str, Callable[[Column, Column], Column]]] = {
-    "integer": {"relabel": lambda c, h: c + 1_000_003, "scale": lambda c, h: c * 3, "cross": lambda c, h: F.when(h, c * 10).otherwise(-c)},
-    "numeric": {"shift": lambda c, h: c + 7.31, "scale": lambda c, h: c * 1.5, "cross": lambda c, h: F.when(h, c * 10).otherwise(c * 0.1)},
+    "integer": {"relabel": lambda c, h: c + STEP, "scale": lambda c, h: c * 3, "cross": lambda c, h: F.when(h, c * 10).otherwise(-c)},
+    "numeric": {"shift": lambda c, h: c + SHIFT, "scale": lambda c, h: c * 1.5, "cross": lambda c, h: F.when(h, c * 10).otherwise(c * 0.1)},
     "temporal": {"shift": lambda c, h: c + _days(37), "cross": lambda c, h: F.when(h, c + _days(120)).otherwise(c - _days(120))},
     "boolean": {"flip": lambda c, h: ~c, "flip_subset": lambda c, h: F.when(h, ~c).otherwise(c)},
     "string": {},
@@ -101,8 +131,9 @@ def affected(spark: SparkSession, table: str, column: str, mode: str, key: str,
     def prints() -> DataFrame:
         out = None
         for m, sql in models.items():
-            spark.sql(to_spark(sql)).createOrReplaceTempView(m)
-            p = fingerprint(spark.table(m)).withColumn("model", F.lit(m))
+            made = written(spark.sql(to_spark(sql)), m)  # each model is computed once, from written ones
+            made.createOrReplaceTempView(m)
+            p = fingerprint(made).withColumn("model", F.lit(m))
             out = p if out is None else out.unionByName(p)
         return spark.createDataFrame(out.collect(), out.schema)  # a row for each column of the models
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tributary.functions.text import search_tokens
+from tributary.tables import written
 
 K1, B = 1.5, 0.75
 RRF_K, DEPTH = 60, 100
@@ -25,18 +26,25 @@ def bm25(docs: DataFrame, queries: DataFrame) -> DataFrame:
     a token that a query repeats counts as often.
     """
     asked = queries.select("qid", F.explode(search_tokens(F.col("text"))).alias("token")).groupBy("qid", "token").agg(F.count(F.lit(1)).alias("times"))
-    toks = search_tokens(F.col("text"))
-    rows = docs.select("id", F.when(F.size(toks) == 0, F.array(F.lit(EMPTY))).otherwise(toks).alias("toks")).withColumn("dl", F.size("toks"))
+    rows = token_table(docs)
     totals = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     # Only tokens that a query has are counted per document, so only they are shuffled.
-    terms = rows.select("id", "dl", F.explode("toks").alias("token")).join(asked.select("token").distinct(), "token").groupBy("id", "dl", "token").agg(F.count(F.lit(1)).alias("tf"))
+    opened = rows.select("id", "dl", F.explode("toks").alias("token"))
+    terms = written(opened.join(asked.select("token").distinct(), "token").groupBy("id", "dl", "token").agg(F.count(F.lit(1)).alias("tf")), "terms")
     df = terms.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    hits = terms.join(asked, "token").join(df, "token").crossJoin(F.broadcast(totals))  # one row
+    hits = terms.join(asked.join(df, "token"), "token").crossJoin(F.broadcast(totals))  # one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.col("times") * idf * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return hits.groupBy("qid", "id").agg(F.sum(part).alias("score")).filter("score > 0")
 
 
+def token_table(docs: DataFrame) -> DataFrame:
+    """(id, toks, dl), written: the index of a search, each text tokenised once."""
+    rows = docs.select("id", search_tokens(F.col("text")).alias("toks"))
+    filled = F.when(F.size("toks") == 0, F.array(F.lit(EMPTY))).otherwise(F.col("toks"))
+    return written(rows, "tokens").select("id", filled.alias("toks"), F.greatest(F.size("toks"), F.lit(1)).alias("dl"))
+
+
 def top(scores: DataFrame, k: int) -> DataFrame:
     """Adds ``rank`` from 1 by score (rounded, so that ties are ties), then id, and keeps the first k of each query."""
     w = Window.partitionBy("qid").orderBy(F.desc(F.round("score", 9)), "id")
@@ -92,12 +100,15 @@ def rrf(*lists: DataFrame, k: int = RRF_K, depth: int = DEPTH) -> DataFrame:
     return every.groupBy("qid", "id").agg(F.sum("part").alias("score"))
 
 
+def both_lists(docs: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The first ``DEPTH`` documents of each query by BM25, and by the cosine of hashed vectors."""
+    asked = hashed_vectors(queries.select(F.col("qid").alias("id"), "text")).select(F.col("id").alias("qid"), "vector")
+    return top(bm25(docs, queries), DEPTH), dense_top(hashed_vectors(docs), asked, DEPTH)
+
+
 def hybrid(docs: DataFrame, queries: DataFrame, k: int = 8) -> DataFrame:
     """(qid, id, score, rank) of BM25 and hashed vectors fused."""
-    sparse = top(bm25(docs, queries), DEPTH)
-    vectors = hashed_vectors(docs)
-    asked = hashed_vectors(queries.select(F.col("qid").alias("id"), "text")).select(F.col("id").alias("qid"), "vector")
-    return top(rrf(sparse, dense_top(vectors, asked, DEPTH)), k)
+    return top(rrf(*both_lists(docs, queries)), k)
 
 
 def windows(docs: DataFrame, lines: int = 40) -> DataFrame:

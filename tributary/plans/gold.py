@@ -153,3 +153,39 @@ def trace_question(edges: DataFrame, target: str) -> dict:
     rows = {r["node"]: r["depth"] for r in up.collect()}
     first = {r["node"] for r in G.starts(edges).collect()}
     return {"target": target, "inputs": sorted(n for n, d in rows.items() if d == 1), "upstream": sorted(rows), "sources": sorted(set(rows) & first)}
+
+
+def closure_without(edges: DataFrame, start: str, dropped: DataFrame | None = None) -> DataFrame:
+    """(model, column) of all that a column reaches over edges, without some pairs (from, to)."""
+    from tributary.plans import graph as G
+
+    left = edges if dropped is None else edges.join(dropped.select("from", "to"), ["from", "to"], "left_anti")
+    found = G.reach(left, edges.sparkSession.createDataFrame([(start,)], "n string"))
+    return found.select(F.substring_index("node", ".", 1).alias("model"), F.substring_index("node", ".", -1).alias("column"))
+
+
+def split_rows(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Written rows (line, from, to, kind) that can be read, and the others with what is wrong with them."""
+    name = r"^[a-z_]\w*(\.[a-z_]\w*)+$"
+    why = F.when(~F.coalesce(F.col("from").rlike(name), F.lit(False)), "no column to come from").when(~F.coalesce(F.col("to").rlike(name), F.lit(False)), "no column to go to").when(~F.coalesce(F.col("kind").isin(*KINDS.values()), F.lit(False)), "no such kind").when(F.col("from") == F.col("to"), "an edge to itself")
+    told = rows.withColumn("problem", why)
+    return told.filter("problem is null").drop("problem"), told.filter("problem is not null").select("line", "problem")
+
+
+def inputs(direct: DataFrame, indirect: DataFrame) -> DataFrame:
+    """(target, direct, indirect): the columns that a column is made of, and those that rule its rows, each in order."""
+    rows = direct.select(F.col("to").alias("target"), F.col("from").alias("d"), F.lit(None).cast("string").alias("i")).unionByName(indirect.select(F.col("to").alias("target"), F.lit(None).cast("string").alias("d"), F.col("from").alias("i")))
+    return rows.groupBy("target").agg(F.array_sort(F.collect_set("d")).alias("direct"), F.array_sort(F.collect_set("i")).alias("indirect"))
+
+
+def question_gold(direct: DataFrame, every: DataFrame) -> DataFrame:
+    """(target, n_inputs, n_upstream, n_sources, n_impact) of every column: the gold of questions on how it is computed, where it comes from and what it affects."""
+    from tributary.plans import graph as G
+
+    nodes = every.select(F.col("from").alias("target")).union(every.select("to")).distinct()
+    up = G.reach(G.reversed_edges(direct), nodes)
+    first = G.starts(direct).withColumn("first", F.lit(1))
+    above = up.join(first, "node", "left").groupBy(F.col("root").alias("target")).agg(F.count_if(F.col("depth") == 1).alias("n_inputs"), F.count(F.lit(1)).alias("n_upstream"), F.count("first").alias("n_sources"))
+    below = G.reach(every, nodes).groupBy(F.col("root").alias("target")).agg(F.count(F.lit(1)).alias("n_impact"))
+    out = nodes.join(above, "target", "left").join(below, "target", "left")
+    return out.select("target", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n_inputs", "n_upstream", "n_sources", "n_impact")])

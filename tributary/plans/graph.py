@@ -3,10 +3,15 @@
 An edge table has the string columns ``from`` and ``to``; other columns ride
 along where noted. Levels are written to the shared folder, a node is expanded
 once, and loops end on an empty frontier or at ``max_depth``, so cycles end too.
+
+Lineage is metadata: a project's graph has some thousand edges. Up to
+``LOCAL_EDGES`` edges the most used traversals run over the collected edges,
+which gives the same result without a job per hop; larger graphs are looped over.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from dataclasses import dataclass
 from functools import reduce
 
@@ -18,6 +23,15 @@ from tributary.tables import written
 #: Direct hops first, then the types in this order.
 TYPE_RANK = {"JOIN": 1, "FILTER": 2, "GROUP_BY": 3, "WINDOW": 4, "SORT": 5, "CONDITIONAL": 6}
 MAX_PATHS = 1000
+#: Edges, and starts of a traversal, that are collected at most.
+LOCAL_EDGES, LOCAL_STARTS = 50_000, 1000
+
+
+def _collected(df: DataFrame, most: int | None = None) -> list | None:
+    """The distinct rows of a table of at most ``most`` rows (``LOCAL_EDGES``, by default); None of a larger one."""
+    most = LOCAL_EDGES if most is None else most
+    rows = df.distinct().limit(most + 1).collect() if most else [None]
+    return rows if len(rows) <= most else None
 
 
 def hops(direct: DataFrame, indirect: DataFrame | None = None) -> DataFrame:
@@ -42,6 +56,20 @@ def reach(edges: DataFrame, starts: DataFrame, max_depth: int = 100) -> DataFram
 
     ``starts`` has one column; all starts move together, one written level per hop.
     """
+    begin = _collected(starts.select(F.col(starts.columns[0]).alias("root")), LOCAL_STARTS)
+    known = _collected(edges.select("from", "to")) if begin is not None else None
+    if known is not None:
+        after = defaultdict(list)
+        for r in known:
+            after[r["from"]].append(r["to"])
+        found = []
+        for (root,) in begin:
+            seen, level = {root}, [root]
+            for depth in range(1, max_depth + 1):
+                level = sorted({n for x in level for n in after[x]} - seen)
+                seen.update(level)
+                found += [(root, n, depth) for n in level]
+        return edges.sparkSession.createDataFrame(found, "root string, node string, depth int")
     e = written(edges.select(F.col("from").alias("node"), F.col("to").alias("next")).distinct(), "edges")
     levels = [written(starts.select(F.col(starts.columns[0]).alias("root")).distinct().select("root", F.col("root").alias("node"), F.lit(0).alias("depth")), "level")]
     for depth in range(1, max_depth + 1):
@@ -57,6 +85,20 @@ def downstream(edges: DataFrame, start: str, max_depth: int = 10) -> DataFrame:
 
     Of several hops the lowest rank counts, then the smaller column and label.
     """
+    known = _collected(edges.select("from", "to", "label", "rank"))
+    if known is not None:
+        after = defaultdict(list)
+        for r in known:
+            after[r["from"]].append((r["rank"], r["from"], r["label"], r["to"]))
+        found, seen, level = [], {start}, [start]
+        for depth in range(1, max_depth + 1):
+            best: dict[str, tuple] = {}
+            for rank, via, label, node in sorted((h for x in level for h in after[x] if h[3] not in seen), reverse=True):
+                best[node] = (node, depth, via, label)
+            level = list(best)
+            seen.update(level)
+            found += best.values()
+        return edges.sparkSession.createDataFrame(found, "node string, depth int, via string, label string")
     e = written(edges.select(F.col("from").alias("via"), F.col("to").alias("node"), "label", "rank"), "edges")
     levels = [edges.sparkSession.createDataFrame([(start, 0, None, None)], "node string, depth int, via string, label string")]
     for depth in range(1, max_depth + 1):
@@ -130,6 +172,25 @@ def reaches(edges: DataFrame, a: str, b: str) -> bool:
 
 def depths(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
     """(node, depth): hops of the longest path from a column without inputs; raises on a cycle."""
+    known = _collected(edges.select("from", "to"))
+    if known is not None:
+        after, left = defaultdict(list), defaultdict(int)
+        for r in known:
+            after[r["from"]].append(r["to"])
+            left[r["to"]] += 1
+            left[r["from"]] += 0
+        depth = {n: 0 for n, k in left.items() if not k}
+        ready = list(depth)
+        while ready:
+            x = ready.pop()
+            for n in after[x]:
+                depth[n] = max(depth.get(n, 0), depth[x] + 1)
+                left[n] -= 1
+                if not left[n]:
+                    ready.append(n)
+        if any(left.values()):
+            raise ValueError("the edges form a cycle")
+        return edges.sparkSession.createDataFrame(list(depth.items()), "node string, depth int")
     e = edges.select("from", "to").distinct()
     nodes = e.select(F.col("from").alias("node")).union(e.select("to")).distinct()
     now = written(nodes.withColumn("depth", F.lit(0)), "depths")
@@ -180,6 +241,20 @@ def ends(edges: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest name connected with each, by min-label propagation with jumps."""
+    known = _collected(edges.select("from", "to"))
+    if known is not None:
+        root: dict[str, str] = {}
+
+        def top(x: str) -> str:
+            while root.setdefault(x, x) != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        for r in known:
+            a, b = top(r["from"]), top(r["to"])
+            root[max(a, b)] = min(a, b)
+        return edges.sparkSession.createDataFrame([(n, top(n)) for n in list(root)], "node string, component string")
     e = edges.select("from", "to").union(edges.select("to", "from")).toDF("node", "other").distinct()
     now = written(e.select("node").distinct().withColumn("component", F.col("node")), "cc")
     while True:
@@ -232,3 +307,8 @@ def coverage(report: DataFrame, edges: DataFrame) -> DataFrame:
     has = edges.select(F.substring_index("to", ".", 1).alias("model")).distinct().withColumn("has", F.lit(True))
     level = F.when(F.col("quality") == "FAILED", "FAILED").when(F.col("quality") == "FULL", "FULL").when(F.col("has"), "PARTIAL").otherwise("TABLE_ONLY")
     return report.join(has, "model", "left").groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("models"))
+
+
+def heights(edges: DataFrame) -> DataFrame:
+    """(node, depth): hops of the longest path that leaves each column."""
+    return depths(reversed_edges(edges))

@@ -74,11 +74,22 @@ for _name in models.MODELS:
 # Lineage and graph
 
 
+_found: dict[tuple[str, str], list[lineage.ModelLineage]] = {}
+
+
+def corpus_models(spark: SparkSession, sf_dir: str) -> list[lineage.ModelLineage]:
+    """Lineage of every model, walked once per session and folder: it depends on the models and the tables' columns alone."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _found:
+        for t in models.SOURCES:
+            read(spark, sf_dir, t).createOrReplaceTempView(t)
+        _found[key] = lineage.project_lineage(spark, models.MODELS)
+    return _found[key]
+
+
 def corpus_lineage(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Direct edges, indirect edges and the report of the model corpus, from Catalyst's plans."""
-    for t in models.SOURCES:
-        read(spark, sf_dir, t).createOrReplaceTempView(t)
-    found = lineage.project_lineage(spark, models.MODELS)
+    found = corpus_models(spark, sf_dir)
     return lineage.edges_frame(spark, found), lineage.indirect_frame(spark, found), lineage.report_frame(spark, found)
 
 
@@ -135,11 +146,13 @@ def gold_expand_indirect(spark, sf_dir):
     return gold.expand_indirect(spark)
 
 
-@query("SELECT 1.0::DOUBLE AS precision, 1.0::DOUBLE AS recall, 1.0::DOUBLE AS f1")
+@query(f"WITH {_D} SELECT kind, count(*) AS n_gold, count(*) AS n_found, count(*) AS n_both FROM direct GROUP BY kind")
 def lineage_vs_gold(spark, sf_dir):
-    """The engine's direct edges against the gold."""
-    direct = corpus_lineage(spark, sf_dir)[0]
-    return metrics.set_scores(direct, gold.gold_edges(spark), "from", "to", "kind").select("precision", "recall", "f1")
+    """The engine's direct edges against the gold, by kind."""
+    a = corpus_lineage(spark, sf_dir)[0].select("from", "to", "kind").withColumn("f", F.lit(1))
+    b = gold.gold_edges(spark).select("from", "to", "kind").withColumn("g", F.lit(1))
+    both = a.join(b, ["from", "to", "kind"], "full")
+    return both.groupBy("kind").agg(F.count("g").alias("n_gold"), F.count("f").alias("n_found"), F.count_if(F.col("f").isNotNull() & F.col("g").isNotNull()).alias("n_both"))
 
 
 @query(_closure("direct", "lineitem.l_extendedprice"))
@@ -203,31 +216,40 @@ def graph_neighbourhood(spark, sf_dir):
     return graph.neighbourhood(_direct(spark, sf_dir), "int_order_totals.items_total", 2).select("node", F.col("hops").cast("long").alias("hops"))
 
 
-@query("SELECT * FROM (VALUES ('lineitem.l_quantity', 'fct_part_performance.unit_revenue', true), ('lineitem.l_quantity', 'dim_segments.segment', false), ('dim_segments.segment', 'customer.c_custkey', false)) AS v(a, b, reachable)")
+_PAIRS = [("lineitem.l_quantity", "fct_part_performance.unit_revenue"), ("lineitem.l_quantity", "dim_segments.segment"), ("dim_segments.segment", "customer.c_custkey"), ("orders.o_totalprice", "int_adjustments.amount")]
+
+
+@query(f"WITH RECURSIVE {_D}, asked AS (SELECT * FROM {gold._values(_PAIRS, 'a, b')}), walk AS (SELECT a AS root, a AS node FROM asked UNION SELECT w.root, d.dst FROM walk w JOIN direct d ON d.src = w.node) SELECT a, b, EXISTS (SELECT 1 FROM walk w WHERE w.root = a AND w.node = b) AS reachable FROM asked")
 def graph_reachability(spark, sf_dir):
     """Whether one column's value reaches another."""
     e = _direct(spark, sf_dir)
-    pairs = [("lineitem.l_quantity", "fct_part_performance.unit_revenue"), ("lineitem.l_quantity", "dim_segments.segment"), ("dim_segments.segment", "customer.c_custkey")]
-    return spark.createDataFrame([(a, b, graph.reaches(e, a, b)) for a, b in pairs], "a string, b string, reachable boolean")
+    return spark.createDataFrame([(a, b, graph.reaches(e, a, b)) for a, b in _PAIRS], "a string, b string, reachable boolean")
 
 
-@query(f"WITH {_D}, n AS (SELECT DISTINCT src AS node FROM direct UNION SELECT dst FROM direct) SELECT node, node AS display FROM n")
+@query(f"WITH {_D}, n AS (SELECT src AS node FROM direct UNION SELECT dst FROM direct), every AS (SELECT 'one.' || node AS node, node AS short FROM n UNION ALL SELECT 'two.' || node, node FROM n WHERE node LIKE 'fct_%') SELECT node, CASE WHEN count(*) OVER (PARTITION BY short) = 1 THEN short ELSE node END AS display FROM every")
 def graph_display_names(spark, sf_dir):
-    """The shortest name that tells a column apart."""
+    """The shortest name that tells a column apart, over two projects that share some."""
     e = _direct(spark, sf_dir)
-    return graph.display_names(e.select(F.col("from").alias("node")).union(e.select("to")).distinct())
+    n = e.select(F.col("from").alias("node")).union(e.select("to")).distinct()
+    return graph.display_names(n.select(F.concat(F.lit("one."), "node").alias("node")).union(n.filter("node like 'fct_%'").select(F.concat(F.lit("two."), "node"))))
 
 
 @query(f"WITH {_D}, {_I} SELECT 'line' AS level, count(*) AS n FROM (SELECT src, dst, kind FROM direct WHERE model <> 'fct_items_slim' UNION ALL SELECT src, dst, type FROM indirect) UNION ALL SELECT 'star', count(*) FROM direct WHERE model = 'fct_items_slim'".replace("WHERE model <> 'fct_items_slim'", "WHERE model NOT IN ('fct_items_slim', 'int_customer_history') OR dst = 'int_customer_history.previous_order_date'").replace("WHERE model = 'fct_items_slim'", "WHERE model = 'fct_items_slim' OR model = 'int_customer_history' AND dst <> 'int_customer_history.previous_order_date'"))
 def lineage_citations(spark, sf_dir):
     """How precisely each edge is placed in its model's text."""
-    for t in models.SOURCES:
-        read(spark, sf_dir, t).createOrReplaceTempView(t)
-    found = lineage.project_lineage(spark, models.MODELS)
+    found = corpus_models(spark, sf_dir)
     return citations.cited_edges(spark, found, models.MODELS).groupBy("level").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT * FROM (VALUES ('Where does dim_segments.segment come from?', 'trace', 9::BIGINT), ('How is fct_monthly.revenue computed?', 'computed', 1), ('What does stg_orders.priority affect?', 'impact', 1), ('Does part.p_brand affect stg_orders.status?', 'reach', 0), ('Where does no.such come from?', 'trace', 0)) AS v(question, intent, n_found)")
+@query(f"""WITH RECURSIVE {_EVERY},
+up AS (SELECT 'dim_segments.segment' AS node UNION SELECT d.src FROM up u JOIN direct d ON d.dst = u.node),
+down AS (SELECT 'stg_orders.priority' AS node UNION SELECT e.dst FROM down w JOIN every e ON e.src = w.node),
+far AS (SELECT 'part.p_brand' AS node, 0 AS d UNION SELECT e.dst, f.d + 1 FROM far f JOIN every e ON e.src = f.node WHERE f.d < 30)
+SELECT 'Where does dim_segments.segment come from?' AS question, 'trace' AS intent, (SELECT count(*) - 1 FROM up) AS n_found
+UNION ALL SELECT 'How is fct_monthly.revenue computed?', 'computed', (SELECT count(*) FROM direct WHERE dst = 'fct_monthly.revenue')
+UNION ALL SELECT 'What does stg_orders.priority affect?', 'impact', (SELECT count(*) - 1 FROM down)
+UNION ALL SELECT 'Does part.p_brand affect stg_orders.status?', 'reach', coalesce((SELECT min(d) + 1 FROM far WHERE node = 'stg_orders.status'), 0)
+UNION ALL SELECT 'Where does no.such come from?', 'trace', (SELECT count(*) FROM every WHERE src = 'no.such' OR dst = 'no.such')""")
 def answer_questions(spark, sf_dir):
     """Answers from the graph alone."""
     direct, indirect, _ = corpus_lineage(spark, sf_dir)
@@ -458,7 +480,7 @@ def _docs(spark, sf_dir):
 
 
 def _asked(spark, sf_dir):
-    return read(spark, sf_dir, "benchmark").filter("item_id < 20").select(F.col("item_id").alias("qid"), "text")
+    return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text")
 
 
 _STOP = ", ".join(f"'{w}'" for w in X.STOP)
@@ -479,7 +501,7 @@ def search_tokens(spark, sf_dir):
 
 
 _BM25 = f"""
-WITH given AS (SELECT 'd' || doc_id AS id, text FROM documents UNION ALL SELECT 'q' || item_id, text FROM benchmark WHERE item_id < 20), {_TOKENS},
+WITH given AS (SELECT 'd' || doc_id AS id, text FROM documents UNION ALL SELECT 'q' || item_id, text FROM benchmark), {_TOKENS},
 filled AS (SELECT * FROM toks UNION ALL SELECT id, chr(1) FROM given WHERE id NOT IN (SELECT id FROM toks)),
 tf AS (SELECT id, token, count(*) AS tf FROM filled WHERE id LIKE 'd%' GROUP BY ALL),
 dl AS (SELECT id, sum(tf) AS dl FROM tf GROUP BY id), df AS (SELECT token, count(*) AS df FROM tf GROUP BY token),
@@ -524,21 +546,33 @@ def search_hashed_vectors(spark, sf_dir):
     return retrieval.hashed_vectors(given).select("id", F.posexplode("vector").alias("cell", "value")).filter("value <> 0").select("id", F.col("cell").cast("long").alias("cell"), F.round("value", 6).alias("value"))
 
 
-@query(
-    _BM25.replace("WITH given", "WITH RECURSIVE given", 1)
-    + ", sparse AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS rank FROM scores QUALIFY rank <= 100), short AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY id) AS rank FROM sparse WHERE rank <= 50), every AS (SELECT qid, id, 1.0 / (60 + rank) AS part FROM sparse UNION ALL SELECT qid, id, 1.0 / (60 + rank) FROM short) SELECT qid, id, round(sum(part), 9) AS score FROM every GROUP BY ALL"
+_HYBRID = (
+    _BM25
+    + """, w AS (SELECT id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS w FROM given),
+h AS (SELECT id, CAST('0x' || left(sha1(w), 8) AS BIGINT) AS h FROM w),
+cells AS (SELECT id, h % 64 AS cell, sum(CASE WHEN (h >> 8) % 2 = 1 THEN 1.0::DOUBLE ELSE -1.0 END) AS v FROM h GROUP BY ALL),
+unit AS (SELECT id, cell, v / nullif(sqrt(sum(v * v) OVER (PARTITION BY id)), 0) AS v FROM cells),
+pairs AS (SELECT q.id AS qid, d.id AS id FROM (SELECT DISTINCT id FROM cells WHERE id LIKE 'q%') q, (SELECT DISTINCT id FROM cells WHERE id LIKE 'd%') d),
+dots AS (SELECT q.id AS qid, d.id, sum(q.v * d.v) AS score FROM unit q JOIN unit d USING (cell) WHERE q.id LIKE 'q%' AND d.id LIKE 'd%' GROUP BY 1, 2),
+cosines AS (SELECT CAST(p.qid[2:] AS BIGINT) AS qid, CAST(p.id[2:] AS BIGINT) AS id, coalesce(score, 0) AS score FROM pairs p LEFT JOIN dots USING (qid, id)),
+sparse AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS rank FROM scores QUALIFY rank <= 100),
+near AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS rank FROM cosines QUALIFY rank <= 100),
+every AS (SELECT qid, id, 1.0::DOUBLE / (60 + rank) AS part FROM sparse UNION ALL SELECT qid, id, 1.0::DOUBLE / (60 + rank) FROM near),
+fused AS (SELECT qid, id, sum(part) AS score FROM every GROUP BY ALL)"""
 )
+
+
+@query(_HYBRID + " SELECT qid, id, round(score, 9) AS score FROM fused")
 def search_rrf(spark, sf_dir):
-    """Two ranked lists fused by reciprocal ranks."""
-    ranked = retrieval.top(retrieval.bm25(_docs(spark, sf_dir), _asked(spark, sf_dir)), 100)
-    other = ranked.filter("rank <= 50").withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("id")))
-    return retrieval.rrf(ranked, other).select("qid", "id", F.round("score", 9).alias("score"))
+    """Two searches fused by reciprocal ranks."""
+    sparse, near = retrieval.both_lists(_docs(spark, sf_dir), _asked(spark, sf_dir))
+    return retrieval.rrf(sparse, near).select("qid", "id", F.round("score", 9).alias("score"))
 
 
-@query()
+@query(_HYBRID + " SELECT qid, id, round(score, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS rank FROM fused QUALIFY rank <= 8")
 def search_hybrid(spark, sf_dir):
     """BM25 and hashed vectors fused, eight documents a query."""
-    return retrieval.hybrid(_docs(spark, sf_dir), _asked(spark, sf_dir)).select("qid", "id", F.round("score", 6).alias("score"), "rank")
+    return retrieval.hybrid(_docs(spark, sf_dir), _asked(spark, sf_dir)).select("qid", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @query("WITH l AS (SELECT doc_id AS id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n FROM documents) SELECT id, n // 40 AS part, min(n) + 1 AS first_line, max(n) + 1 AS last_line, md5(string_agg(line, chr(10) ORDER BY n)) AS chunk_md5 FROM l GROUP BY 1, 2")
@@ -558,11 +592,24 @@ def _catalog(spark):
     return spark.createDataFrame(sorted(set(names)), "column_id string, name string")
 
 
-@query("SELECT * FROM (VALUES ('part.p_brand', 'part.p_brand', 1.0::DOUBLE, 'exact_id'), ('c_acctbal', 'customer.c_acctbal', 0.97, 'exact_name'), ('lifetime values', 'dim_customers.lifetime_value', 0.87, 'rewritten'), ('order num', 'fct_orders.order_number', 0.87, 'rewritten')) AS v(mention, column_id, score, tier)")
+_WORDS = "list_filter(string_split_regex(lower(regexp_replace({}, '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '[^a-z0-9]+'), lambda x: x <> '')"
+_SINGULAR = "CASE WHEN length(x) > 3 AND x LIKE '%s' AND x NOT LIKE '%ss' THEN left(x, length(x) - 1) ELSE x END"
+_FULL = f"list_transform(list_transform(t, lambda x: {_SINGULAR}), lambda x: coalesce(map {{{', '.join(f"'{k}': '{v}'" for k, v in X.ABBREVIATIONS.items())}}}[x], x))"
+_NAMES = gold._values(sorted({(f"{m}.{c}", c) for m, c in gold.columns()} | {(a, a.split(".")[1]) for a, _, _, _ in gold.direct_rows()}), "id, name")
+_LINK = f"""WITH m AS (SELECT mention, t, {_FULL} AS f FROM (SELECT mention, {_WORDS.format("mention")} AS t FROM {gold._values([(x,) for x in _MENTIONS], "mention")})),
+c AS (SELECT id, name, t, {_FULL} AS f FROM (SELECT id, name, {_WORDS.format("name")} AS t FROM {_NAMES})),
+hits AS (
+  SELECT mention, id, 1.0::DOUBLE AS score, 'exact_id' AS tier FROM m JOIN c ON lower(mention) = id
+  UNION ALL SELECT mention, id, 0.97, 'exact_name' FROM m JOIN c ON lower(mention) = name
+  UNION ALL SELECT mention, id, 0.93, 'surface' FROM m JOIN c ON m.t = c.t
+  UNION ALL SELECT mention, id, 0.87, 'rewritten' FROM m JOIN c ON list_sort(m.f) = list_sort(c.f))"""
+
+
+@query(_LINK + " SELECT mention, id AS column_id, score, tier FROM hits QUALIFY row_number() OVER (PARTITION BY mention ORDER BY score DESC, id) = 1")
 def link_columns(spark, sf_dir):
-    """The best column of each mention, in its tier; fuzzy ones are left to link_fuzzy."""
+    """The best column of each mention in the tiers of equal names; fuzzy ones are left to link_fuzzy."""
     m = spark.createDataFrame([(x,) for x in _MENTIONS], "mention string")
-    return linking.link(m, _catalog(spark)).filter("rank = 1 and tier <> 'fuzzy'").select("mention", "column_id", "score", "tier")
+    return linking.link(m, _catalog(spark), fuzzy=False).filter("rank = 1").select("mention", "column_id", "score", "tier")
 
 
 @query()
@@ -607,12 +654,12 @@ def metric_prf(spark, sf_dir):
     return s.select("n_pred", "n_gold", "n_both", "precision", "recall", "f1")
 
 
-@query("SELECT count(*) FILTER (quality = 1 AND toxic = 0) AS b, count(*) FILTER (quality <> 1 AND toxic <> 0) AS c FROM labels")
+@query("WITH d AS (SELECT count(*) FILTER (quality = 1 AND toxic = 0) AS b, count(*) FILTER (quality <> 1 AND toxic <> 0) AS c FROM labels) SELECT b, c, round(CASE WHEN b + c = 0 THEN 1 ELSE least(1.0::DOUBLE, 2 * (SELECT sum(exp(lgamma(b + c + 1) - lgamma(k + 1) - lgamma(b + c - k + 1) - (b + c) * ln(2.0::DOUBLE))) FROM range(0, 1000000) r(k) WHERE k <= least(b, c))) END, 9) AS p FROM d")
 def metric_mcnemar(spark, sf_dir):
-    """Discordant pairs (the p-value is tested against the definition)."""
+    """Discordant pairs and the exact p."""
     lb = read(spark, sf_dir, "labels").select((F.col("quality") == 1).alias("a"), (F.col("toxic") != 0).alias("t"))
     m = metrics.mcnemar(lb, "a", "t")
-    return spark.createDataFrame([(m["b"], m["c"])], "b long, c long")
+    return spark.createDataFrame([(m["b"], m["c"], round(m["p"], 9))], "b long, c long, p double")
 
 
 @query("SELECT o_orderpriority, quantile_disc(o_totalprice, 0.95) AS p95 FROM orders GROUP BY 1")
@@ -621,11 +668,18 @@ def metric_percentile(spark, sf_dir):
     return metrics.percentile(read(spark, sf_dir, "orders"), "o_totalprice", 95, ["o_orderpriority"])
 
 
-@query("WITH d AS (SELECT l.doc_id, CAST(l.toxic AS DOUBLE) AS m, d.lang FROM labels l JOIN documents d USING (doc_id)) SELECT 'all' AS dimension, 'all' AS value, count(m) AS n, avg(m) AS mean FROM d UNION ALL SELECT 'lang', lang, count(m), avg(m) FROM d GROUP BY lang")
+_DIMENSIONS = {"lang": "lang", "source": "source", "quality": "CAST(quality AS VARCHAR)", "size": "CASE WHEN n_chars < 500 THEN 'short' WHEN n_chars < 5000 THEN 'middle' ELSE 'long' END", "lines": "CASE WHEN contains(text, chr(10)) THEN 'many' ELSE 'one' END", "held": "CASE WHEN doc_id % 5 = 0 THEN 'held' ELSE 'learnt' END", "first": "lower(left(text, 1))"}
+
+
+@query("WITH d AS (SELECT CAST(l.toxic AS DOUBLE) AS m, " + ", ".join(f"{e} AS d_{k}" for k, e in _DIMENSIONS.items()) + " FROM labels l JOIN documents d USING (doc_id)) SELECT 'all' AS dimension, 'all' AS value, count(m) AS n, avg(m) AS mean FROM d" + "".join(f" UNION ALL SELECT '{k}', d_{k}, count(m), avg(m) FROM d GROUP BY d_{k}" for k in _DIMENSIONS))
 def metric_breakdown(spark, sf_dir):
-    """A metric by dimension."""
-    d = read(spark, sf_dir, "labels").join(read(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id").withColumn("m", F.col("toxic").cast("double"))
-    return metrics.breakdown(d, "m", ["lang"])
+    """A metric over seven dimensions in one pass."""
+    size = F.when(F.col("n_chars") < 500, "short").when(F.col("n_chars") < 5000, "middle").otherwise("long")
+    d = read(spark, sf_dir, "labels").join(read(spark, sf_dir, "documents"), "doc_id").select(
+        F.col("toxic").cast("double").alias("m"), "lang", "source", "quality", size.alias("size"), F.when(F.contains("text", F.lit("\n")), "many").otherwise("one").alias("lines"),
+        F.when(F.col("doc_id") % 5 == 0, "held").otherwise("learnt").alias("held"), F.lower(F.substring("text", 1, 1)).alias("first"),
+    )
+    return metrics.breakdown(d, "m", list(_DIMENSIONS))
 
 
 @query("WITH r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY CAST('0x' || left(sha256('s|' || doc_id), 8) AS BIGINT), doc_id) AS n, count(*) OVER (PARTITION BY lang) AS total FROM documents) SELECT doc_id, lang FROM r WHERE n <= ceil(total * 0.3)")
@@ -640,14 +694,29 @@ def metric_bootstrap(spark, sf_dir):
     return metrics.bootstrap_ci(read(spark, sf_dir, "labels").select("doc_id", F.col("toxic").cast("double").alias("v")), "v")
 
 
-@query("SELECT * FROM (VALUES ('fct_items_slim', 'quantity'), ('stg_items', 'quantity'), ('int_items_enriched', 'quantity')) AS v(model, \"column\")")
+#: Every model made of lineitem, in an order that runs.
+_OF_ITEMS = [m for m in lineage.topological(models.reads()) if any("lineitem" in models.reads()[a] for a in models.ancestors(m))]
+
+
+def _changed_oracle() -> str:
+    """All models twice, over lineitem and over its changed twin, and each column's values compared as a bag."""
+    import re
+
+    need = [m for m in lineage.topological(models.reads()) if any(m in models.ancestors(x) for x in _OF_ITEMS)]
+    twin = lambda sql: re.sub(rf"\b({'|'.join([*_OF_ITEMS, 'lineitem'])})\b(?!\.)", r"\1__b", sql)
+    ctes = [f"{m} AS ({models.MODELS[m]})" for m in need] + ["lineitem__b AS (SELECT * REPLACE (l_quantity + 7.31 AS l_quantity) FROM lineitem)"] + [f"{m}__b AS ({re.sub(r'__b(?=[.])', '', twin(models.MODELS[m]))})" for m in _OF_ITEMS]
+    bag = lambda c, t: f"(SELECT (count(*), sum(hash(CASE WHEN typeof({c}) IN ('DOUBLE', 'FLOAT') THEN printf('%.9e', TRY_CAST({c} AS DOUBLE) + 0.0) ELSE CAST({c} AS VARCHAR) END)::HUGEINT)) FROM {t})"
+    rows = [f"SELECT '{m}' AS model, '{c}' AS \"column\" WHERE {bag(c, m)} IS DISTINCT FROM {bag(c, m + '__b')}" for m, c in gold.columns() if m in _OF_ITEMS]
+    return "WITH " + ", ".join(ctes) + " " + " UNION ALL ".join(rows)
+
+
+@query(_changed_oracle())
 def perturb_affected(spark, sf_dir):
-    """The columns that change when lineitem.l_quantity does."""
-    names = ["stg_items", "fct_items_slim", "stg_parts", "int_items_enriched"]
-    models.register(spark, sf_dir, names)
+    """The columns of all models that change when lineitem.l_quantity does."""
+    models.register(spark, sf_dir)
     li = read(spark, sf_dir, "lineitem").withColumn("__row", F.concat_ws("-", "l_orderkey", "l_linenumber"))
     li.createOrReplaceTempView("lineitem")
-    return perturb.affected(spark, "lineitem", "l_quantity", "shift", "__row", {m: models.MODELS[m] for m in names})
+    return perturb.affected(spark, "lineitem", "l_quantity", "shift", "__row", {m: models.MODELS[m] for m in _OF_ITEMS})
 
 
 @query("SELECT c AS cutoff, max(o_totalprice) FILTER (o_totalprice < c) AS nearest_below, count(*) FILTER (o_totalprice = c) AS at_cutoff, min(o_totalprice) FILTER (o_totalprice > c) AS nearest_above, count(*) FILTER (o_totalprice < c) AS rows_below, count(*) FILTER (o_totalprice > c) AS rows_above FROM orders, (VALUES (50000.0::DOUBLE), (150000.0)) AS v(c) GROUP BY c")
@@ -662,7 +731,16 @@ def stream_hourly(spark, sf_dir):
     return streams.hourly(read(spark, sf_dir, "events")).withColumn("hour", F.date_format("hour", "yyyy-MM-dd HH:mm:ss"))
 
 
-@query("SELECT event_type AS key, CAST(CAST(ts - INTERVAL 8 HOUR AS DATE) AS VARCHAR) AS day, count(*) AS n FROM events GROUP BY 1, 2")
+_DST = "CASE WHEN t >= TIMESTAMP '2024-03-10 10:00:00' AND t < TIMESTAMP '2024-11-03 09:00:00' THEN 7 ELSE 8 END"
+
+
+@query(f"WITH e AS (SELECT event_type, DATE_TRUNC('second', TIMESTAMP '2024-01-01') + (event_id * 9 * 3600 + extract(epoch FROM ts)::BIGINT % 3600) % 31536000 * INTERVAL 1 SECOND AS t FROM events) SELECT event_type AS key, CAST(CAST(t - {_DST} * INTERVAL 1 HOUR AS DATE) AS VARCHAR) AS day, count(*) AS n FROM e GROUP BY 1, 2")
 def stream_daily_counter(spark, sf_dir):
-    """Events per type and day on the Pacific coast (eight hours behind in January)."""
-    return streams.daily_counter(read(spark, sf_dir, "events")).withColumn("day", F.col("day").cast("string"))
+    """Events per type and day on the Pacific coast, their times spread over a year with both changes of the clock."""
+    e = read(spark, sf_dir, "events")
+    seconds = F.pmod(F.col("event_id") * 9 * 3600 + F.pmod(F.unix_seconds(F.col("ts").cast("timestamp")), F.lit(3600)), F.lit(31536000))
+    spread = e.withColumn("ts", F.timestamp_seconds(F.lit(1704067200) + seconds))
+    return streams.daily_counter(spread).withColumn("day", F.col("day").cast("string"))
+
+
+from tributary import queries_project, queries_sql  # noqa: E402, F401  (they register theirs)

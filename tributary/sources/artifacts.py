@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from pathlib import Path
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -140,3 +141,64 @@ def canonical_json(edges: DataFrame) -> str:
     """The edges as one sorted JSON text; for project graphs, which fit a driver."""
     rows = [r.asDict(recursive=True) for r in edges.orderBy(*edges.columns).collect()]
     return json.dumps(rows, sort_keys=True, separators=(",", ":"))
+
+
+class Target(NamedTuple):
+    """What a project's build leaves behind, read in one go."""
+
+    nodes: DataFrame
+    catalog: DataFrame
+    relations: DataFrame
+    exposures: DataFrame
+    dialect: str
+    has_catalog: bool
+
+
+def load_target(spark: SparkSession, target: str, dialect: str | None = None) -> Target:
+    """The artifacts of a folder: the manifest with its compiled texts, the catalog or, where there is none, what the manifest declares."""
+    path = f"{target.rstrip('/')}/manifest.json"
+    nodes = read_manifest(spark, path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/compiled")
+    exists = lambda p: p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+    if exists(place):
+        nodes = with_compiled(nodes, target)
+    has = exists(spark._jvm.org.apache.hadoop.fs.Path(f"{target}/catalog.json"))
+    catalog = read_catalog(spark, f"{target}/catalog.json") if has else catalog_of_manifest(nodes)
+    adapter = _json(spark, path, MANIFEST).select("metadata.adapter_type").first()[0]
+    return Target(nodes, catalog, relation_map(nodes), read_exposures(spark, path), resolve_dialect(adapter, dialect), has)
+
+
+def referenced_files(nodes: DataFrame, root: str) -> DataFrame:
+    """(file): the files that nodes are written in, those of packages under the packages' folder."""
+    own = F.col("package_name") == root
+    return nodes.filter("original_file_path is not null").select(F.when(own, F.col("original_file_path")).otherwise(F.concat_ws("/", F.lit("dbt_packages"), "package_name", "original_file_path")).alias("file")).distinct()
+
+
+def is_stale(spark: SparkSession, cache: str, sources: list[str]) -> bool:
+    """Whether a cache is missing, or some source file is younger than its youngest part."""
+
+    def youngest(paths: list[str]):
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
+        return files.agg(F.max("modificationTime")).first()[0]
+
+    place = spark._jvm.org.apache.hadoop.fs.Path(cache)
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        return True
+    kept, now = youngest([cache]), youngest(sources)
+    return kept is None or (now is not None and now > kept)
+
+
+def save_index(chunks: DataFrame, vectors: DataFrame, path: str, key: dict[str, str]) -> None:
+    """Search chunks (id, ...) with their vectors (id, vector) as Parquet; what they were made from is written last, so an index that broke off has no key."""
+    spark = chunks.sparkSession
+    chunks.join(vectors, "id", "left").write.mode("overwrite").parquet(f"{path}/chunks")
+    spark.createDataFrame(sorted(key.items()), "part string, value string").coalesce(1).write.mode("overwrite").json(f"{path}/key")
+
+
+def load_index(spark: SparkSession, path: str, key: dict[str, str]) -> DataFrame:
+    """The chunks and vectors of an index made from the same parts; the first part that differs is told."""
+    have = {r["part"]: r["value"] for r in spark.read.schema("part string, value string").json(f"{path}/key").collect()}
+    changed = next((k for k in sorted(key.keys() | have.keys()) if key.get(k) != have.get(k)), None)
+    if changed:
+        raise ValueError(f"the index was made from another {changed}")
+    return spark.read.parquet(f"{path}/chunks")
