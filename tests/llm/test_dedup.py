@@ -8,6 +8,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from tributary.llm import common
 from tributary.llm import exact_dedup as X
 from tributary.llm import sentence_dedup as D
 from tributary.llm import simhash as S
@@ -31,7 +32,8 @@ def sentences(r, n):
 # Connected components
 
 
-def test_components_against_union_find(spark):
+@pytest.mark.parametrize("local_edges", [500_000, 0])
+def test_components_against_union_find(spark, local_edges):
     r = random.Random(3)
     edges = [(r.randint(0, 80), r.randint(0, 80)) for _ in range(60)] + [(i, i + 1) for i in range(100, 140)] + [(500, i) for i in range(501, 540)] + [(7, 7)]
     root = {}
@@ -44,12 +46,23 @@ def test_components_against_union_find(spark):
     for a, b in edges:
         x, y = find(a), find(b)
         root[max(x, y)] = min(x, y)
-    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long"), local_edges).collect()}
     want = {x: find(x) for e in edges for x in e}
     assert all(got.get(x, x) == c for x, c in want.items())
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_rows_of_a_hot_key_stay_where_they_are(spark):
+    """A star of 100,000 leaves: no task of the join reads more than its share of the hub's rows."""
+    n = 100_000
+    rows = spark.range(n, numPartitions=8).select(F.when(F.col("id") % 10 == 0, F.col("id")).otherwise(-1).alias("k"), F.col("id").alias("v"))
+    facts = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("m"))
+    got = common.handed(rows, facts, ["k"], "n", n)
+    assert got.count() == n and got.filter("k = -1").select("m").distinct().count() == 1
+    per_task = got.filter("k = -1").groupBy(F.spark_partition_id().alias("p")).count()
+    assert per_task.agg(F.max("count")).first()[0] <= n / 8
+
+
 # Exact dedup
 
 

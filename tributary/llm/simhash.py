@@ -224,10 +224,12 @@ WIDE, KEYS, KEY_BITS = 8, 64, 16
 ROWS_PER_KEY = 16
 #: Likelihood that a bit is the same in two texts of similarity 0.8.
 SAME_BIT = 0.86
-#: Differing bits of the first word up to which a pair is looked at: about three deviations beyond what 0.8 gives.
-RADIUS = 18
-#: Differing bits of the wide fingerprint up to which a pair's shingle sets are looked at: 77 on average at 0.8, some 140 at 0.5.
-WIDE_RADIUS = 124
+#: Words of the fingerprint that key rows carry, and their differing bits up to which a pair is looked at: at 0.8 some 19 of 128 differ, with a deviation of 4.
+CARRIED, RADIUS = 2, 30
+#: Differing bits of the whole wide fingerprint up to which a pair's shingle sets are looked at: 77 on average at 0.8 with a deviation of 8 (more in tiny texts), some 140 at 0.5.
+WIDE_RADIUS = 116
+#: One row in so many is counted to find keys of many rows, which are then dealt into blocks; and members of a cluster in a block.
+COUNTED_ONE_IN, CLUSTER_BLOCK = 8, 256
 #: Rows of a key that each row is compared with in the first round, beside the key's first; the second compares all.
 NEIGHBOURS = 32
 
@@ -292,8 +294,18 @@ def _wide_rows(words: int):
     return run
 
 
-def _wide_keys(keys: int, bits: int):
-    """(wide, columns) -> a row (key, fp, columns) for each key of a fingerprint."""
+def _words(column: pa.Array) -> np.ndarray:
+    """A binary column of equal lengths as rows of 64-bit words."""
+    return np.frombuffer(b"".join(column.to_pylist()), "<u8").reshape(len(column), -1)
+
+
+def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Differing bits of fingerprints in their last axis."""
+    return np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int16)
+
+
+def _wide_keys(keys: int, bits: int, carried: int = 8 * CARRIED):
+    """(wide, columns) -> a row (key, fp, columns) for each key of a fingerprint; ``fp`` is its first bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, chosen = 1 << np.arange(bits, dtype=np.int64), _chosen(keys, bits)
@@ -303,44 +315,47 @@ def _wide_keys(keys: int, bits: int):
                 wide = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(len(batch), -1)
                 key = (np.unpackbits(wide, axis=1, bitorder="little")[:, chosen] @ weights) | (np.arange(keys, dtype=np.int64) << bits)
                 owner = pa.array(np.repeat(np.arange(len(batch)), keys))
-                fp = np.repeat(wide[:, :8].copy().view("<i8")[:, 0], keys)
-                yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1)), pa.array(fp), *(c.take(owner) for c in batch.columns[1:])], ["key", "fp", *batch.schema.names[1:]])
+                fp = pa.array([w.tobytes() for w in wide[:, :carried].copy()], pa.binary()).take(owner)
+                yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1)), fp, *(c.take(owner) for c in batch.columns[1:])], ["key", "fp", *batch.schema.names[1:]])
 
     return run
 
 
+_WIDE_PIVOTS = np.random.default_rng(23).integers(0, 2**64, (PIVOTS, CARRIED), np.uint64)
+
+
 def _candidates(radius: int):
     """Rows (key, fp, id) in order of key and id: for each row its key's first row, if close, or else the closest of the rows before it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail = [np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)]
+        tail = [np.zeros(0, np.int64), np.zeros((0, CARRIED), np.uint64), np.zeros(0, np.int64)]
         found: list[np.ndarray] = []
         first_key, first = None, None
         for batch in batches:
-            new = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
-            key, fp, node = (np.concatenate([t, n]) for t, n in zip(tail, (new[0], new[1].view(np.uint64), new[2]), strict=True))
-            old = len(tail[0])
-            if old == len(key):
+            if not len(batch):
                 continue
-            table = np.bitwise_count(fp[:, None] ^ _PIVOTS[None, :]).astype(np.int16)
+            new = [batch.column(0).to_numpy(zero_copy_only=False), _words(batch.column(1)), batch.column(2).to_numpy(zero_copy_only=False)]
+            key, fp, node = (np.concatenate([t, n]) for t, n in zip(tail, new, strict=True))
+            old = len(tail[0])
+            table = _apart(fp[:, None, :], _WIDE_PIVOTS[None, :, :])
             heads = np.concatenate([[True], key[1:] != key[:-1]])
             head_at = np.maximum.accumulate(np.where(heads, np.arange(len(key)), 0))
             head_fp, head_node, head_table = fp[head_at], node[head_at], table[head_at]
             if first_key is not None:  # the key's first row may lie batches before
                 same = key == first_key
                 head_fp[same], head_node[same] = first
-                head_table[same] = np.bitwise_count(np.uint64(first[0]) ^ _PIVOTS).astype(np.int16)
-            best = np.full(len(key), 65, np.int64)
+                head_table[same] = _apart(first[0], _WIDE_PIVOTS)
+            best = np.full(len(key), 64 * CARRIED + 1, np.int16)
             partner = np.zeros(len(key), np.int64)
             for k in range(1, min(NEIGHBOURS, len(key) - 1) + 1):
                 at = np.flatnonzero(key[k:] == key[:-k]) + k
                 if not len(at):
                     break
                 at = at[np.abs(table[at] - table[at - k]).max(axis=1, initial=0) <= radius]
-                far = np.bitwise_count(fp[at] ^ fp[at - k]).astype(np.int64)
+                far = _apart(fp[at], fp[at - k])
                 nearer = far < best[at]
                 best[at[nearer]], partner[at[nearer]] = far[nearer], node[at[nearer] - k]
-            lead = (np.abs(table - head_table).max(axis=1) <= radius) & (np.bitwise_count(fp ^ head_fp) <= radius) & (head_node != node)
+            lead = (np.abs(table - head_table).max(axis=1) <= radius) & (_apart(fp, head_fp) <= radius) & (head_node != node)
             best[lead], partner[lead] = 0, head_node[lead]
             at = np.flatnonzero((best <= radius) & (partner != node))
             at = at[at >= old]
@@ -353,76 +368,184 @@ def _candidates(radius: int):
             if sum(map(len, found)) > 1 << 20:
                 found = [np.unique(np.concatenate(found), axis=0)]
         if found:
-            pairs = np.unique(np.concatenate(found), axis=0)
-            for i in range(0, len(pairs), 10_000):
-                part = pairs[i : i + 10_000]
-                yield pa.RecordBatch.from_arrays([pa.array(part[:, 0].copy()), pa.array(part[:, 1].copy())], ["a", "b"])
+            yield from _pair_batches(np.unique(np.concatenate(found), axis=0))
 
     return run
 
 
-def _all_candidates(radius: int):
-    """Rows (key, part, side, fp, id, component) in order of key and part: every pair of a part within the radius, of two components.
+def _pair_batches(pairs: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(pairs), 10_000):
+        part = pairs[i : i + 10_000]
+        yield pa.RecordBatch.from_arrays([pa.array(part[:, 0].copy()), pa.array(part[:, 1].copy())], ["a", "b"])
 
-    Side -1 meets its whole part, other sides only what is on another side.
+
+def _near_pairs(start: np.ndarray, side: np.ndarray, fp: np.ndarray, comp: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows (as places) of each pair within the radius of one group, of two components; ``start`` is the place where a row's group begins.
+
+    Side -1 meets its whole group, other sides only what is on another side.
+    Small groups go together, by the distance of two rows in their order; in a
+    large one each row outside the most frequent component meets all rows.
     """
+    n = np.arange(len(start))
+    sizes = np.bincount(start, minlength=len(start))[start]
+    small = sizes <= SMALL_GROUP
+    apart = lambda i, j: (comp[i] != comp[j]) & ((side[i] < 0) | (side[i] != side[j]))
+    at, k = n[small & (n > start)], 1
+    while len(at):
+        good = apart(at, at - k)
+        good[good] = _apart(fp[at[good]], fp[at[good] - k]) <= radius
+        if good.any():
+            yield at[good] - k, at[good]
+        k += 1
+        at = at[at - start[at] >= k]
+    for begin in np.unique(start[~small]).tolist():
+        rows = np.arange(begin, begin + sizes[begin])
+        values, counts = np.unique(comp[rows], return_counts=True)
+        others = rows[comp[rows] != values[counts.argmax()]]
+        for i in range(0, len(others), 64):
+            x = others[i : i + 64]
+            ok = apart(x[:, None], rows[None, :])
+            ok &= _apart(fp[x][:, None, :], fp[rows][None, :, :]) <= radius
+            a, b = np.nonzero(ok)
+            if len(a):
+                yield x[a], rows[b]
+
+
+#: Rows of a group that is compared together with others.
+SMALL_GROUP = 64
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.ndarray]]:
+    """Batches sorted by their first columns, joined so that no group of equal ``keys`` first columns is cut; binary columns as words, with the place where each row's group begins in front."""
+    held: list[pa.RecordBatch] = []
+
+    def made(parts: list[pa.RecordBatch]) -> list[np.ndarray]:
+        whole = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+        cols = [_words(c) if pa.types.is_binary(c.type) else c.to_numpy(zero_copy_only=False) for c in whole.columns]
+        new = np.zeros(len(whole), bool)
+        new[0] = True
+        for c in cols[:keys]:
+            new[1:] |= c[1:] != c[:-1]
+        return [np.maximum.accumulate(np.where(new, np.arange(len(whole)), 0)), *cols]
+
+    for batch in batches:
+        if not len(batch):
+            continue
+        last = np.ones(len(batch), bool)
+        for i in range(keys):
+            c = batch.column(i).to_numpy(zero_copy_only=False)
+            last &= c == c[-1]
+        cut = int(np.argmax(last))
+        same = held and all(held[-1].column(i)[len(held[-1]) - 1].equals(batch.column(i)[0]) for i in range(keys))
+        if cut or (held and not same):
+            whole = [*held, *([batch.slice(0, cut)] if cut else [])]
+            if whole:
+                yield made(whole)
+            held = []
+        held.append(batch.slice(cut))
+    if held:
+        yield made(held)
+
+
+def _open_ids(radius: int):
+    """Rows (key, part, side, fp, id, component) in order of key and part: the ids with a row of another component within the radius."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: list[np.ndarray] = []
+        seen = np.zeros(0, np.int64)
+        for start, _, _, side, fp, node, comp in _grouped(batches, 2):
+            hit = np.zeros(len(node), bool)
+            for a, b in _near_pairs(start, side, fp, comp, radius):
+                hit[a] = hit[b] = True
+            seen = np.unique(np.concatenate([seen, node[hit]]))
+            if len(seen) > 1 << 20:
+                yield pa.RecordBatch.from_arrays([pa.array(seen)], ["id"])
+                seen = np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(seen)], ["id"])
 
-        def meet(cols: list[np.ndarray]) -> None:
-            key, part, side, fp, node, comp = cols
-            fp = fp.view(np.uint64)
-            n = np.arange(len(key))
-            heads = np.concatenate([[True], (key[1:] != key[:-1]) | (part[1:] != part[:-1])])
-            place = n - np.maximum.accumulate(np.where(heads, n, 0))
-            at, k = n[place > 0], 1
-            while len(at):
-                to = at - k
-                good = (np.bitwise_count(fp[at] ^ fp[to]) <= radius) & (comp[at] != comp[to]) & ((side[at] < 0) | (side[at] != side[to]))
-                if good.any():
-                    x, y = node[at[good]], node[to[good]]
-                    found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1))
-                    if sum(map(len, found)) > 1 << 20:
-                        found[:] = [np.unique(np.concatenate(found), axis=0)]
-                k += 1
-                at = at[place[at] >= k]
-
-        def drained() -> Iterator[pa.RecordBatch]:
-            pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-            found.clear()
-            for i in range(0, len(pairs), 10_000):
-                part = pairs[i : i + 10_000]
-                yield pa.RecordBatch.from_arrays([pa.array(part[:, 0].copy()), pa.array(part[:, 1].copy())], ["a", "b"])
-
-        held: list[list[np.ndarray]] = []  # rows of a part that isn't over
-        for batch in batches:
-            if not len(batch):
-                continue
-            new = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            last = int(np.argmax((new[0] == new[0][-1]) & (new[1] == new[1][-1])))
-            if last or (held and (held[-1][0][-1], held[-1][1][-1]) != (new[0][0], new[1][0])):
-                held.append([c[:last] for c in new])
-                meet([np.concatenate(c) for c in zip(*held, strict=True)])
-                held = []
-            held.append([c[last:] for c in new])
-            if sum(map(len, found)) > 1 << 19:
-                yield from drained()
-        if held:
-            meet([np.concatenate(c) for c in zip(*held, strict=True)])
-        yield from drained()
+    return run
+
+
+def _spanning(pairs: np.ndarray) -> np.ndarray:
+    """Pairs that connect the same nodes as all of them."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (y := root.setdefault(x, x)) != x:
+            root[x] = root[y]
+            x = root[x]
+        return x
+
+    out = []
+    for a, b in pairs.tolist():
+        ra, rb = find(a), find(b)
+        if ra != rb:
+            root[rb] = ra
+            out.append((a, b))
+    return np.array(out, np.int64).reshape(-1, 2)
+
+
+def _close_edges(radius: int):
+    """As :func:`_open_ids`, but edges that connect what is close: fewer than the rows, however many pairs there are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edges = np.zeros((0, 2), np.int64)
+        for start, _, _, side, fp, node, comp in _grouped(batches, 2):
+            for a, b in _near_pairs(start, side, fp, comp, radius):
+                edges = np.concatenate([edges, np.stack([node[a], node[b]], axis=1)])
+                if len(edges) > 1 << 18:
+                    edges = _spanning(np.unique(edges, axis=0))
+            if len(edges) > 1 << 16:
+                edges = _spanning(np.unique(edges, axis=0))
+        yield from _pair_batches(_spanning(np.unique(edges, axis=0)))
 
     return run
 
 
+def _cluster_links(similarity: float):
+    """Rows (cluster, i, j, side, wide, id, component, set) in order of the first three: the pairs of enough similarity, of two components, that two blocks of a cluster hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for start, _, _, _, side, wide, node, comp, at, sets in _grouped_sets(batches):
+            out = []
+            for a, b in _near_pairs(start, side, wide, comp, WIDE_RADIUS):
+                for x, y in zip(a.tolist(), b.tolist(), strict=True):
+                    if _similar(sets[at[x]], sets[at[y]], similarity):
+                        out.append((min(int(node[x]), int(node[y])), max(int(node[x]), int(node[y]))))
+            if out:
+                yield from _pair_batches(np.unique(np.array(out, np.int64), axis=0))
+
+    return run
+
+
+def _grouped_sets(batches: Iterator[pa.RecordBatch]):
+    """:func:`_grouped` for rows whose last column is a set of any length: it comes as a list, with each row's place in it before."""
+    kept: list = []
+
+    def narrow() -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = pa.array(np.arange(len(kept), len(kept) + len(batch)))
+            kept.extend(batch.column(7).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:7], at], [*batch.schema.names[:7], "at"])
+
+    for cols in _grouped(narrow(), 3):
+        places = cols[-1]
+        yield [*cols, dict(zip(places.tolist(), (kept[i] for i in places.tolist()), strict=True))]
+        for i in places.tolist():
+            kept[i] = None  # a group that is over
+
+
 def _in_parts(keys: DataFrame, max_table: int) -> DataFrame:
-    """(key, part, side, fp, id, component): a key of over ``max_table`` rows is dealt into blocks, and each two of them meet in a part of their own."""
-    counts = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
-    crowded = stored(counts.filter(F.col("n") > max_table).select("key", F.ceil(F.col("n") / max_table).cast("int").alias("blocks"), (F.col("low") < F.col("high")).alias("mixed")), "crowded")
+    """(key, part, side, fp, id, component): a key of over ``max_table`` rows is dealt into blocks, and each two of them meet in a part of their own.
+
+    The rows of keys are estimated from those of some ids: this decides how keys are dealt out and never what is compared.
+    """
+    some = keys.filter(F.pmod(F.xxhash64("id"), F.lit(COUNTED_ONE_IN)) == 0).groupBy("key").agg((F.count(F.lit(1)) * COUNTED_ONE_IN).alias("n"))
+    crowded = stored(some.filter(F.col("n") > max_table).select("key", F.ceil(F.col("n") / max_table).cast("int").alias("blocks")), "crowded")
     plain = lambda rows: rows.select("key", F.lit(0).alias("part"), F.lit(-1).alias("side"), "fp", "id", "component")
     if crowded.isEmpty():
         return plain(keys)
-    dealt = keys.join(crowded.filter("mixed"), "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    # A key of so many rows is one of keys x rows / max_table at most: as many as a few rows of the corpus.
+    dealt = keys.join(crowded, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     part = F.least("block", "other") * F.col("blocks") + F.greatest("block", "other")
     split = met.select("key", part.alias("part"), F.when(F.col("block") == F.col("other"), -1).otherwise(F.col("block")).alias("side"), "fp", "id", "component")
@@ -439,12 +562,14 @@ def _set_rows(words: int):
     return run
 
 
-def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, wide of a, wide of b) -> the pairs within the radius of the wide fingerprint."""
-    for batch in batches:
-        x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u8").reshape(len(batch), -1) for i in (2, 3))
-        near = np.bitwise_count(x ^ y).sum(axis=1) <= WIDE_RADIUS
-        yield batch.select(["a", "b"]).filter(pa.array(near))
+def _similar(x: bytes, y: bytes, similarity: float) -> bool:
+    """Whether two sorted sets of hashes are as similar as asked."""
+    a, b = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
+    if min(len(a), len(b)) < similarity * max(len(a), len(b)):
+        return False
+    both = np.sort(np.concatenate([a, b]))
+    common = int((both[1:] == both[:-1]).sum())
+    return common >= similarity * (len(a) + len(b) - common)
 
 
 def _verified(similarity: float):
@@ -452,17 +577,8 @@ def _verified(similarity: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
-                if min(len(x), len(y)) < similarity * max(len(x), len(y)):
-                    good.append(False)
-                    continue
-                both = np.sort(np.concatenate([x, y]))
-                common = int((both[1:] == both[:-1]).sum())
-                good.append(common >= similarity * (len(x) + len(y) - common))
-            keep = pa.array(good, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(keep)
+            good = [_similar(x, y, similarity) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return run
 
@@ -472,19 +588,22 @@ def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     In a first round each document proposes one partner per key. One proposal of
     each document is verified first; of the others only those that would join two
-    components. A second round verifies every other pair of a key within the
-    radii whose documents are still in two components.
+    components. The second round is whole: every pair of a key within the radius
+    whose documents are still in two components makes them open; open documents
+    meet again by keys, with their wide fingerprints, into clusters of what is
+    close, and in a cluster, block by block, the shingle sets decide. Rows that
+    move follow the documents, not the pairs.
     """
     prepare(docs.sparkSession)
     rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     marks = stored(rows.mapInArrow(_wide_rows(words), "id long, wide binary"), "wide")
-    to_keys = _wide_keys(*key_plan(marks.count()))
-    keys = marks.select("wide", "id").mapInArrow(to_keys, "key long, fp long, id long")
+    total = marks.count()
+    plan = key_plan(total)
+    keys = marks.select("wide", "id").mapInArrow(_wide_keys(*plan), "key long, fp binary, id long")
     pairs = stored(keys.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_candidates(RADIUS), "a long, b long").groupBy("a", "b").agg(F.count(F.lit(1)).alias("times")), "proposals")
 
     def sets_of(some: DataFrame) -> DataFrame:
-        nodes = some.select("a").union(some.select("b")).distinct().withColumnRenamed("a", "nid")
-        return stored(rows.join(nodes, F.col("id") == F.col("nid")).select("id", "text").mapInArrow(_set_rows(words), "sid long, shingles binary"), "sets")
+        return stored(rows.join(some.select("id").distinct().withColumnRenamed("id", "nid"), F.col("id") == F.col("nid")).select("id", "text").mapInArrow(_set_rows(words), "sid long, shingles binary"), "sets")
 
     def verified(some: DataFrame, sets: DataFrame) -> DataFrame:
         left = some.join(sets, F.col("a") == F.col("sid")).select("a", "b", F.col("shingles").alias("x"))
@@ -497,23 +616,35 @@ def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             some = some.join(c, side, "left").withColumn(f"c{side}", F.coalesce(f"c{side}", side))
         return some.filter("ca <> cb").select("a", "b")
 
-    def alike(some: DataFrame) -> DataFrame:
-        for side, wide in (("a", "x"), ("b", "y")):
-            some = some.join(marks.select(F.col("id").alias(side), F.col("wide").alias(wide)), side)
-        return some.select("a", "b", "x", "y").mapInArrow(_alike, "a long, b long")
-
-    sets = sets_of(pairs)
+    sets = sets_of(pairs.select(F.col("a").alias("id")).union(pairs.select("b")))
     best = stored(pairs.groupBy("b").agg(F.max_by("a", F.struct("times", -F.col("a"))).alias("a")).select("a", "b"), "best")
     sure = verified(best, sets)
-    other = stored(apart(pairs.select("a", "b").join(best, ["a", "b"], "left_anti"), connected_components(sure)), "open")
+    other = apart(pairs.select("a", "b").join(best, ["a", "b"], "left_anti"), connected_components(sure))
     links = sure.unionByName(verified(other, sets))
 
     cc = connected_components(links).select(F.col("node").alias("id"), "component")
-    placed = marks.join(cc, "id", "left").select("wide", "id", F.coalesce("component", "id").alias("component"))
-    parts = _in_parts(placed.mapInArrow(to_keys, "key long, fp long, id long, component long"), max_table)
-    every = parts.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(_all_candidates(RADIUS), "a long, b long").distinct()
-    rest = stored(alike(every.join(best.unionByName(other), ["a", "b"], "left_anti")), "rest")
-    return links.unionByName(verified(rest, sets_of(rest)))
+    placed = stored(marks.join(cc, "id", "left").select("wide", "id", F.coalesce("component", "id").alias("component")), "placed")
+    order = ["key", "part"]
+
+    def in_keys(some: DataFrame, carried: int, f, schema: str) -> DataFrame:
+        made = some.mapInArrow(_wide_keys(*plan, carried), "key long, fp binary, id long, component long")
+        return _in_parts(made, max_table).repartition(*order).sortWithinPartitions(*order).mapInArrow(f, schema)
+
+    open_ids = in_keys(placed, 8 * CARRIED, _open_ids(RADIUS), "id long").distinct()
+    opened = stored(placed.join(open_ids, "id", "left_semi").select("wide", "id", "component"), "open")
+    edges = in_keys(opened, 8 * WIDE, _close_edges(WIDE_RADIUS), "a long, b long")
+    cluster = stored(connected_components(edges), "clusters")
+    member = cluster.unionByName(cluster.select(F.col("component").alias("node"), "component").distinct()).toDF("id", "cluster")
+    sizes = member.groupBy("cluster").agg(F.count(F.lit(1)).alias("m"))
+    held = handed(member, sizes, ["cluster"], "m", total).withColumn("blocks", F.ceil(F.col("m") / CLUSTER_BLOCK).cast("int"))
+    own_sets = sets_of(member).withColumnRenamed("sid", "id")
+    full = held.join(opened, "id").join(own_sets, "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    met = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.when(F.col("block") == F.col("other"), -1).otherwise(F.col("block")).alias("side"), "wide", "id", "component", "shingles"
+    )
+    groups = ["cluster", "i", "j"]
+    late = met.repartition(*groups).sortWithinPartitions(*groups).mapInArrow(_cluster_links(similarity), "a long, b long")
+    return links.unionByName(stored(late, "late"))
 
 
 def similar_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
