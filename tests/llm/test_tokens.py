@@ -182,6 +182,7 @@ def test_values_round_trip():
 def test_file_report(spark, monkeypatch):
     monkeypatch.setattr(token_files, "DOCS_PER_FILE", 9)
     monkeypatch.setattr(token_files, "BLOCK", 50)
+    monkeypatch.setattr(token_files, "TOKENS_PER_FILE", 40)
     texts = [*ODD, "Some More words " * 40]
     order = random.Random(3).sample(range(len(texts)), len(texts))
     d = spark.createDataFrame([(i * 7 - 20, texts[i]) for i in order], "doc_id long, text string").repartition(3)

@@ -7,6 +7,8 @@ import gc
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -59,6 +61,8 @@ def scratch(spark: SparkSession) -> str:
     """The shared folder: ``spark.checkpoint.dir``, or one of our own where that is unset (local runs)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("a cluster needs spark.checkpoint.dir, a folder that all of it shares")
         base = getattr(spark.sparkContext, "_tributary_scratch", None)
         if not base:
             base = "file://" + tempfile.mkdtemp(prefix="tributary-")
@@ -77,7 +81,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tributary_path = path
-    spark.sparkContext.__dict__.setdefault("_tributary_tables", []).append(out)
+    scope = spark.sparkContext.__dict__.get("_tributary_scope")
+    if scope is not None:
+        scope.append(out)
     return out
 
 
@@ -92,12 +98,24 @@ def discard(df: DataFrame | None) -> None:
         df._tributary_path = None
 
 
-def discard_all(spark: SparkSession) -> None:
-    """Delete every table that :func:`stored` wrote: for callers that have written what they read from them."""
-    for df in spark.sparkContext.__dict__.pop("_tributary_tables", []):
+@contextmanager
+def own_tables(spark: SparkSession, owner: str) -> Iterator[None]:
+    """What :func:`stored` writes inside belongs to ``owner`` and is deleted when the owner begins anew; nobody else's tables are touched.
+
+    For callers that have by then written what they made of those tables.
+    """
+    context = spark.sparkContext.__dict__
+    owned = context.setdefault("_tributary_owned", {})
+    for df in owned.pop(owner, []):
         discard(df)
     gc.collect()
     spark._jvm.System.gc()  # Spark deletes shuffle files of plans that nothing holds any more
+    before, owned[owner] = context.get("_tributary_scope"), []
+    context["_tributary_scope"] = owned[owner]
+    try:
+        yield
+    finally:
+        context["_tributary_scope"] = before
 
 
 #: Rows of one key that a join may always send to one task.

@@ -9,7 +9,8 @@ A file holds blocks. A block (little-endian) is::
 Values are ranks: rank 0 is the corpus's most frequent id. Two control bits per
 value (four values a byte, lowest bits first) give its length less one, and the
 data bytes follow little-endian. ``ranks`` beside the files lists the ids by
-rank. Files are cut by ranges of the document id and named in their order.
+rank. Files are cut by ranges of the document id, and by their tokens where a
+range holds many, and are named in their order.
 """
 
 from __future__ import annotations
@@ -29,8 +30,8 @@ from tributary.llm.tokens import word_ids
 MAGIC = b"TID1"
 HEAD = struct.Struct("<4sIIII")
 END_ID = 1
-#: Documents per file, about; files are read whole, so this bounds a reader's memory.
-DOCS_PER_FILE = 8000
+#: Documents of a range of ids, about, and tokens after which a range goes on in a further file: files are read whole, so this bounds a reader's memory (with the longest document).
+DOCS_PER_FILE, TOKENS_PER_FILE = 8000, 1 << 25
 #: Values in a block.
 BLOCK = 1 << 19
 
@@ -109,7 +110,7 @@ def _tokenised(path: str, bounds: np.ndarray):
 
 
 def _offsets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds ``off``, the ids before a document in its shard, to rows sorted by shard and id."""
+    """Adds ``off``, the ids before a document in its shard, and the file of the shard that it is in, to rows sorted by shard and id."""
     shard, total = None, 0
     for batch in batches:
         off = []
@@ -118,7 +119,7 @@ def _offsets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 shard, total = s, 0
             off.append(total)
             total += n
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(off, pa.int64())], ["shard", "id", "n", "ids", "off"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(off, pa.int64()), pa.array([x // TOKENS_PER_FILE for x in off], pa.int32())], ["shard", "id", "n", "ids", "off", "part"])
 
 
 def _counted(kind: str, size: int):
@@ -133,20 +134,20 @@ def _counted(kind: str, size: int):
 
 
 def _blocks(kind: str, rank: np.ndarray, base: dict[int, int]):
-    """(shard, id, off, ids) -> (shard, block); a block holds documents of one shard."""
+    """(shard, part, id, off, ids) -> (shard, part, block); a block holds documents of one file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, values, shard = [], 0, None
+        held, values, file = [], 0, None
 
         def flush() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([write_block(held)], pa.binary())], ["shard", "block"])
+            return pa.RecordBatch.from_arrays([*(pa.array([x], pa.int32()) for x in file), pa.array([write_block(held)], pa.binary())], ["shard", "part", "block"])
 
         for batch in batches:
-            for s, i, off, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and (s != shard or values >= BLOCK):
+            for s, part, i, off, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and ((s, part) != file or values >= BLOCK):
                     yield flush()
                     held, values = [], 0
-                shard = s
+                file = s, part
                 held.append((i, base[s] + off, rank[np.frombuffer(ids, kind)]))
                 values += len(held[-1][2])
         if held:
@@ -179,11 +180,11 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, id_col: str =
         rows.mapInArrow(_tokenised(tokenizer, np.array(bounds, np.int64)), "shard int, id long, n long, ids binary")
         .repartitionById(len(bounds) + 1, "shard")  # a task for each file
         .sortWithinPartitions(*order)
-        .mapInArrow(_offsets, "shard int, id long, n long, ids binary, off long")
+        .mapInArrow(_offsets, "shard int, id long, n long, ids binary, off long, part int")
     )
     place = fresh_path(spark, "token-ids")
     ids.write.option("compression", "zstd").partitionBy("shard").parquet(place)
-    table = spark.read.schema("id long, n long, ids binary, off long, shard int").parquet(place)
+    table = spark.read.schema("id long, n long, ids binary, off long, part int, shard int").parquet(place)
     freq = table.select("ids").mapInArrow(_counted(kind, size), "token int, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()  # at most the vocabulary
     by_rank = [t for _, t in sorted((-r["n"], r["token"]) for r in freq)]
     rank = np.zeros(size, np.uint32)
@@ -192,8 +193,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, id_col: str =
     base, at = {}, 0
     for s in sorted(totals):
         base[s], at = at, at + totals[s]
-    blocks = table.select("shard", "id", "off", "ids").mapInArrow(_blocks(kind, rank, base), "shard int, block binary")
-    blocks.select("shard", F.col("block").cast("string").alias("value")).write.partitionBy("shard").option("lineSep", "\n").text(f"{path}/files")
+    blocks = table.select("shard", "part", "id", "off", "ids").mapInArrow(_blocks(kind, rank, base), "shard int, part int, block binary")
+    blocks.select("shard", "part", F.col("block").cast("string").alias("value")).write.partitionBy("shard", "part").option("lineSep", "\n").text(f"{path}/files")
     spark.createDataFrame([(i, t) for i, t in enumerate(by_rank)], "rank int, token int").coalesce(1).write.parquet(f"{path}/ranks")
     return base
 

@@ -21,8 +21,8 @@ DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Payloads of fewer bytes are never revisits.
 LEAST_BYTES = 0
-#: Repeats up to which the list of them is sent to every task (about 16 bytes each); more are joined by a shuffle.
-SENT_REPEATS = 500_000
+#: Repeats up to which the list of them is sent to every task (two ids and a hash, some 120 bytes each), so that no payload moves; more are joined by a shuffle, with the same rows.
+SENT_REPEATS = 200_000
 
 
 def base32_sha1(data: Column) -> Column:
