@@ -304,7 +304,12 @@ def brute_substring(texts):
     return out
 
 
-def test_substring_report(spark):
+@pytest.mark.parametrize("dealt", [False, True])
+def test_substring_report(spark, monkeypatch, dealt):
+    if dealt:  # every repeated hash is one of many rows
+        monkeypatch.setattr(D, "SORTED_TOGETHER", 1)
+        monkeypatch.setattr(D, "COUNTED_ONE_IN", 1)
+        monkeypatch.setattr(D, "partitions", lambda spark: 1000)
     r = random.Random(9)
     passage = sentences(r, 12)
     texts = [(i, f"{sentences(r, 6)}\n{passage if i % 2 else ''} {sentences(r, 5)}") for i in range(10)]

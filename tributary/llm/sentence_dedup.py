@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tributary.llm.common import claim, prepare
+from tributary.llm.common import claim, partitions, prepare, stored
 
 #: A run has at least this many pieces and words.
 MIN_PIECES, MIN_WORDS = 2, 20
@@ -112,21 +112,58 @@ def _span_rows(min_pieces: int, min_words: int):
     return run
 
 
-def _not_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in order of hashes and id: the runs that aren't of their hash's smallest id, or that come again in a text."""
-    lead = None  # a row of one: hashes and smallest id of the last hash
-    for batch in batches:
-        if not len(batch):
-            continue
-        h, g = (batch.column(i).to_numpy() for i in (1, 2))
-        ids = batch.column(0)
-        if lead is not None:
-            h, g, ids = np.concatenate([lead[0], h]), np.concatenate([lead[1], g]), pa.concat_arrays([lead[2], ids])
-        n = np.arange(len(h))
-        heads = np.maximum.accumulate(np.where(np.concatenate([[True], (h[1:] != h[:-1]) | (g[1:] != g[:-1])]), n, 0))
-        other = pc.not_equal(ids, ids.take(pa.array(heads))).slice(len(h) - len(batch))
-        lead = h[-1:], g[-1:], ids.take(pa.array(heads[-1:]))
-        yield batch.select(["id", "start", "end"]).filter(pc.or_(other, batch.column(5)))
+def _not_first(keys: int):
+    """Rows (``keys`` columns, id, start, end, again, ...) in order of the keys and id: adds ``other``, whether a run isn't of its keys' smallest id or comes again in a text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lead = None  # a row of one: keys and smallest id of the last keys
+        for batch in batches:
+            if not len(batch):
+                continue
+            cols = [batch.column(i).to_numpy() for i in range(keys)]
+            ids = batch.column(keys)
+            if lead is not None:
+                cols = [np.concatenate([old, new]) for old, new in zip(lead[0], cols, strict=True)]
+                ids = pa.concat_arrays([lead[1], ids])
+            n = np.arange(len(ids))
+            new = np.ones(len(ids), bool)
+            new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in cols])
+            heads = np.maximum.accumulate(np.where(new, n, 0))
+            other = pc.not_equal(ids, ids.take(pa.array(heads))).slice(len(ids) - len(batch))
+            lead = [c[-1:] for c in cols], ids.take(pa.array(heads[-1:]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pc.or_(other, batch.column(keys + 3))], [*batch.schema.names, "other"])
+
+    return run
+
+
+#: Of so many documents the runs of one are counted to find hashes of many rows, and the rows of a hash that one task may always sort.
+COUNTED_ONE_IN, SORTED_TOGETHER = 32, 20_000
+
+
+def _later(spans: DataFrame, some: DataFrame, kind: str) -> DataFrame:
+    """(id, start, end) of the runs that aren't their hash's first occurrence.
+
+    A hash of many rows (a very common passage; estimated from ``some``, which
+    decides the deal and never the result) is dealt out by the documents' hashes:
+    rows that aren't first in their own deal are later for sure, and only the
+    first documents of the deals meet.
+    """
+    spark = spans.sparkSession
+    counts = stored(some.groupBy("h").agg((F.count(F.lit(1)) * COUNTED_ONE_IN).alias("n")), "counts")
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    deals = partitions(spark)
+    hot = stored(counts.filter(F.col("n") > max(SORTED_TOGETHER, total // (4 * deals))).select("h", F.lit(True).alias("hot")), "hot")  # at most 4 x partitions hashes
+    row = f"h long, g int, id {kind}, start int, end int, again boolean"
+    if hot.isEmpty():
+        found = spans.repartition("h").sortWithinPartitions("h", "g", "id").select("h", "g", "id", "start", "end", "again").mapInArrow(_not_first(2), f"{row}, other boolean")
+        return found.filter("other").select("id", "start", "end")
+    dealt = spans.join(F.broadcast(hot), "h", "left").withColumn("deal", F.when(F.col("hot"), F.pmod(F.xxhash64("id"), F.lit(deals))).otherwise(0).cast("int"))
+    keys = ["h", "g", "deal"]
+    first = dealt.select(*keys, "id", "start", "end", "again", F.coalesce("hot", F.lit(False)).alias("hot")).repartition("h", "deal").sortWithinPartitions(*keys, "id")
+    told = stored(first.mapInArrow(_not_first(3), f"h long, g int, deal int, id {kind}, start int, end int, again boolean, hot boolean, other boolean").filter("other or hot"), "told")
+    open_ = told.filter("not other").select("h", "g", "id", "start", "end", "again").repartition("h").sortWithinPartitions("h", "g", "id")
+    late = open_.mapInArrow(_not_first(2), f"{row}, other boolean").filter("other")
+    return told.filter("other").select("id", "start", "end").unionByName(late.select("id", "start", "end"))
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_pieces: int = MIN_PIECES, min_words: int = MIN_WORDS) -> DataFrame:
@@ -138,8 +175,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     prepare(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col))
-    spans = rows.mapInArrow(_span_rows(min_pieces, min_words), f"id {kind}, h long, g int, start int, end int, again boolean")
-    found = spans.repartition("h").sortWithinPartitions("h", "g", "id").mapInArrow(_not_first, f"id {kind}, start int, end int")
+    spans_of = lambda some: some.mapInArrow(_span_rows(min_pieces, min_words), f"id {kind}, h long, g int, start int, end int, again boolean")
+    found = _later(spans_of(rows), spans_of(rows.filter(F.pmod(F.xxhash64("id"), F.lit(COUNTED_ONE_IN)) == 0)), kind)
     w = Window.partitionBy("id").orderBy("start", "end")
     reached = F.coalesce(F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
     opened = found.withColumn("opens", (F.col("start") > reached).cast("int"))
