@@ -30,6 +30,7 @@ ABBREVIATIONS = {
     "rev": "revenue",
 }
 
+# What a search token is made of.
 IDENTIFIER, PART = r"[a-z0-9_]+(?:\.[a-z0-9_]+)*", "[a-z0-9]+"
 
 
@@ -82,3 +83,9 @@ def contains_word(text: Column, word: str) -> Column:
 
 def token_estimate(text: Column) -> Column:
     return F.ceil(F.length(text) / 3)
+
+
+def without_one(text: Column) -> Column:
+    """A text and all texts that it becomes without one character: two texts one edit apart have one of these in common."""
+    at = F.sequence(F.lit(0), F.length(text))
+    return F.array_distinct(F.transform(at, lambda i: F.when(i == 0, text).otherwise(F.concat(F.substring(text, F.lit(1), i - 1), F.substring(text, i + 1, F.length(text))))))

@@ -9,11 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tributary.functions.text import without_one
 from tributary.plans.graph import components
 
 MIN_PREFIX_HEX = 5
-#: Columns of a claim's text: dotted names that don't look like files.
-NAME = r"(?<![\w/.-])[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)+"
+#: A dotted name in prose: parts of letters, digits and underscores, none beginning with a digit, that no path or file leads up to (group 1).
+NAME = r"(?:^|[^\w./-])([A-Za-z_]\w*(?:\.[A-Za-z_]\w*)+)"
 
 # Words about a kind, and the kinds of edges that make them true.
 KIND_WORDS = (
@@ -45,17 +46,21 @@ def in_ledger(claims: DataFrame, ledger: DataFrame) -> DataFrame:
 
 def repairs(claims: DataFrame, ledger: DataFrame) -> DataFrame:
     """(claim, id, repaired): a bad id for which one given id stands alone: same prefix, and one edit away or begun by five hex digits or more."""
-    bad = _cited(claims).join(ledger.select("id"), "id", "left_anti").select("claim", "id", F.substring("id", 1, 2).alias("prefix"))
-    given = ledger.select(F.col("id").alias("cand"), F.substring("id", 1, 2).alias("prefix")).distinct()
-    begun = (F.length("id") - 2 >= MIN_PREFIX_HEX) & F.col("cand").startswith(F.col("id")) & (F.col("cand") != F.col("id"))
-    near = bad.join(given, "prefix").filter((F.levenshtein("id", "cand") <= 1) | begun)
+    bad = _cited(claims).join(ledger.select("id"), "id", "left_anti").distinct()
+    given = ledger.select(F.col("id").alias("cand")).distinct()
+    # One edit apart: both have a text with one character less in common. Begun: the first characters are the same.
+    left, right = (df.withColumn("key", F.explode(without_one(F.col(c)))) for df, c in ((bad, "id"), (given, "cand")))
+    edited = left.join(right, "key").filter(F.levenshtein("id", "cand") <= 1).select("claim", "id", "cand")
+    head = MIN_PREFIX_HEX + 2
+    begun = bad.filter(F.length("id") >= head).join(given, F.substring("id", 1, head) == F.substring("cand", 1, head)).filter(F.col("cand").startswith(F.col("id"))).select("claim", "id", "cand")
+    near = edited.unionByName(begun).filter(F.substring("id", 1, 2) == F.substring("cand", 1, 2))
     one = near.groupBy("claim", "id").agg(F.count_distinct("cand").alias("n"), F.min("cand").alias("repaired"))
     return one.filter("n = 1").select("claim", "id", "repaired")
 
 
 def names(claims: DataFrame) -> DataFrame:
     """(claim, name): dotted names in the text, lower case."""
-    found = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(NAME), F.lit(0)), F.lower))
+    found = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(NAME), F.lit(1)), F.lower))
     return claims.select("claim", F.explode(found).alias("name")).filter(~F.col("name").rlike(r"\.(sql|csv|yml|yaml|md)$"))
 
 
@@ -109,15 +114,15 @@ def salvage(claims: DataFrame, failures: DataFrame) -> DataFrame:
     return claims.join(failures.select("claim").distinct(), "claim", "left_anti")
 
 
-#: File paths and line numbers in prose.
-PATH = r"(?i)(?<![\w/])(?:[\w.-]+/)*[\w.-]+\.(?:sql|csv|yml|yaml)\b"
-LINES = r"(?i)\blines?\s+(\d+)(?:\s*(?:-|–|to)\s*(\d+))?"
+#: A file of a project in prose, with its folders, and "line 3", "lines 3-5", "lines 3 to 5" (the numbers are groups 1 and 2).
+PATH = r"(?i)(?:^|[^\w./-])((?:[\w.-]+/)*[\w.-]*\w\.(?:sql|csv|ya?ml))(?!\w)"
+LINES = r"(?i)\blines?\s+(\d+)(?:\s*(?:[-–]|to)\s*(\d+))?"
 
 
 def prose_references(claims: DataFrame, ledger: DataFrame) -> DataFrame:
     """A file or a line that a claim mentions is one that it cites; the ledger has file, first and last line here."""
     cited = _cited(claims).join(ledger.select("id", "file", "first_line", "last_line"), "id")
-    files = claims.select("claim", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(PATH), F.lit(0)))).alias("said"))
+    files = claims.select("claim", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(PATH), F.lit(1)))).alias("said"))
     match = (files["claim"] == cited["claim"]) & ((F.col("file") == F.col("said")) | F.col("file").endswith(F.concat(F.lit("/"), "said")))
     no_file = _failures(files.join(cited, match, "left_anti"), "R6", F.col("said"))
     spans = claims.select("claim", F.explode(F.regexp_extract_all("text", F.lit(LINES), F.lit(0))).alias("said"))

@@ -133,7 +133,10 @@ def lineage_stats(spark, sf_dir):
     return one(direct, "n_direct").crossJoin(one(indirect, "n_indirect")).crossJoin(report.agg(F.count_distinct("model").alias("n_models"))).crossJoin(one(cols.distinct(), "n_columns"))
 
 
-@query(f"WITH {_D}, {_I} SELECT 'FULL' AS level, count(DISTINCT model) AS models FROM direct")
+_FIXED = gold._values([(m, c) for m, cs in gold.CONSTANTS.items() for c in cs], "model, col")
+
+
+@query(f"WITH {_D}, {_I}, known AS (SELECT c.model, c.col, EXISTS (SELECT 1 FROM direct d WHERE d.dst = c.model || '.' || c.col) AS has, EXISTS (SELECT 1 FROM {_FIXED} WHERE v.model = c.model AND v.col = c.col) AS fixed FROM cols c), per AS (SELECT model, CASE WHEN bool_and(has OR fixed) THEN 'FULL' WHEN bool_or(has) THEN 'PARTIAL' ELSE 'TABLE_ONLY' END AS level FROM known GROUP BY model) SELECT level, count(*) AS models FROM per GROUP BY level")
 def lineage_coverage(spark, sf_dir):
     """Models by coverage level."""
     direct, _, report = corpus_lineage(spark, sf_dir)
@@ -619,27 +622,49 @@ def link_fuzzy(spark, sf_dir):
     return linking.link(m, _catalog(spark)).filter("tier = 'fuzzy'")
 
 
-def _claims(spark):
-    claims = [
-        (0, "fct_orders.items_total is passed through from the history", ["e_00000001"]),
-        (1, "dim_customers.lifetime_value aggregates fct_orders.items_total", ["e_00000002"]),
-        (2, "dim_customers.lifetime_value is renamed", ["e_00000002"]),
-        (3, "fct_orders.ghost is invented", ["e_00000001"]),
-        (4, "nothing is cited", []),
-        (5, "stg_orders.status feeds it", ["e_0000000x"]),
-        (6, "two far edges: dim_customers.lifetime_value and stg_parts.brand", ["e_00000002", "e_00000003"]),
-        (7, "stg_parts.brand is upper-cased", ["e_deadbeef"]),
-    ]
-    ledger = [
-        ("e_00000001", "IDENTITY", "int_customer_history.items_total", "fct_orders.items_total"),
-        ("e_00000002", "AGGREGATION", "fct_orders.items_total", "dim_customers.lifetime_value"),
-        ("e_00000003", "TRANSFORMATION", "part.p_brand", "stg_parts.brand"),
-    ]
-    nodes = [(f"{m}.{c}",) for m, c in gold.columns()]
-    return spark.createDataFrame(claims, "claim int, text string, ids array<string>"), spark.createDataFrame(ledger, "id string, kind string, from_col string, to_col string"), spark.createDataFrame(nodes, "node string")
+_CLAIMS = [
+    (0, "fct_orders.items_total is passed through from the history", ["e_00000001"]),
+    (1, "dim_customers.lifetime_value aggregates fct_orders.items_total", ["e_00000002"]),
+    (2, "dim_customers.lifetime_value is renamed", ["e_00000002"]),
+    (3, "fct_orders.ghost is invented", ["e_00000001"]),
+    (4, "nothing is cited", []),
+    (5, "stg_orders.status feeds it", ["e_0000000x"]),
+    (6, "two far edges: dim_customers.lifetime_value and stg_parts.brand", ["e_00000002", "e_00000003"]),
+    (7, "stg_parts.brand is upper-cased", ["e_deadbeef"]),
+    (8, "fct_orders.items_total comes unchanged from int_customer_history.items_total", ["e_0000001"]),
+    (9, "the sum of fct_orders.items_total is dim_customers.lifetime_value, from part.p_brand", ["e_00000002", "e_0000000"]),
+]
+_LEDGER = [
+    ("e_00000001", "IDENTITY", "int_customer_history.items_total", "fct_orders.items_total"),
+    ("e_00000002", "AGGREGATION", "fct_orders.items_total", "dim_customers.lifetime_value"),
+    ("e_00000003", "TRANSFORMATION", "part.p_brand", "stg_parts.brand"),
+]
 
 
-@query("SELECT * FROM (VALUES (2::BIGINT, 'R5', 'rename'), (3, 'R4', 'hallucinated fct_orders.ghost'), (3, 'R7', NULL), (4, 'R1', NULL), (5, 'R2', 'e_0000000x'), (5, 'R4', 'unsupported stg_orders.status'), (6, 'R8', '2'), (7, 'R2', 'e_deadbeef')) AS v(claim, rule, item)")
+def _claims(spark):
+    nodes = [(f"{m}.{c}",) for m, c in gold.columns()]
+    return spark.createDataFrame(_CLAIMS, "claim int, text string, ids array<string>"), spark.createDataFrame(_LEDGER, "id string, kind string, from_col string, to_col string"), spark.createDataFrame(nodes, "node string")
+
+
+_R5 = " UNION ALL ".join(f"SELECT claim, 'R5' AS rule, '{w}' AS item FROM kinds JOIN claims USING (claim) WHERE regexp_matches(lower(text), '{p}') AND NOT list_has_any(kinds, {list(ok)})" for w, p, ok in validation.KIND_WORDS)
+_VALIDATE = f"""WITH RECURSIVE claims AS (SELECT * FROM (VALUES {", ".join(f"({c}, '{t}', {ids or "[]::VARCHAR[]"})" for c, t, ids in _CLAIMS)}) AS v(claim, text, ids)),
+ledger AS (SELECT * FROM {gold._values(_LEDGER, "id, kind, a, b")}), nodes AS (SELECT * FROM {gold._values([(f"{m}.{c}",) for m, c in gold.columns()], "name")}),
+cited AS (SELECT claim, unnest(ids) AS id FROM claims), bad AS (SELECT DISTINCT claim, id FROM cited WHERE id NOT IN (SELECT id FROM ledger)),
+near AS (SELECT claim, b.id, l.id AS cand FROM bad b JOIN ledger l ON left(l.id, 2) = left(b.id, 2) AND (levenshtein(l.id, b.id) <= 1 OR length(b.id) >= 7 AND starts_with(l.id, b.id))),
+fix AS (SELECT claim, id, min(cand) AS cand FROM near GROUP BY 1, 2 HAVING count(DISTINCT cand) = 1),
+ok AS (SELECT c.claim, coalesce(f.cand, c.id) AS id FROM cited c LEFT JOIN fix f USING (claim, id)), edges AS (SELECT DISTINCT claim, kind, a, b FROM ok JOIN ledger USING (id)),
+said AS (SELECT DISTINCT claim, lower(n) AS name FROM (SELECT claim, unnest(regexp_extract_all(text, '[A-Za-z_]\\w*(?:\\.[A-Za-z_]\\w*)+')) AS n FROM claims)),
+shown AS (SELECT a AS name FROM ledger UNION SELECT b FROM ledger), kinds AS (SELECT claim, list(kind) AS kinds FROM edges GROUP BY claim),
+touched AS (SELECT DISTINCT s.claim FROM said s JOIN edges e ON e.claim = s.claim AND s.name IN (e.a, e.b)),
+walk AS (SELECT claim, a AS node, a AS other FROM edges UNION SELECT claim, b, b FROM edges UNION SELECT w.claim, w.node, CASE WHEN e.a = w.other THEN e.b ELSE e.a END FROM walk w JOIN edges e ON e.claim = w.claim AND w.other IN (e.a, e.b)),
+parts AS (SELECT claim, count(DISTINCT low) AS n FROM (SELECT claim, node, min(other) AS low FROM walk GROUP BY 1, 2) GROUP BY claim)
+SELECT CAST(claim AS BIGINT) AS claim, rule, item FROM (
+SELECT claim, 'R1' AS rule, NULL AS item FROM claims WHERE len(ids) = 0 UNION ALL SELECT claim, 'R2', id FROM ok WHERE id NOT IN (SELECT id FROM ledger)
+UNION ALL SELECT claim, 'R4', 'hallucinated ' || name FROM said WHERE name NOT IN (SELECT name FROM nodes) UNION ALL SELECT claim, 'R4', 'unsupported ' || name FROM said WHERE name IN (SELECT name FROM nodes) AND name NOT IN (SELECT name FROM shown)
+UNION ALL {_R5} UNION ALL SELECT DISTINCT claim, 'R7', NULL FROM said WHERE claim IN (SELECT claim FROM edges) AND claim NOT IN (SELECT claim FROM touched) UNION ALL SELECT claim, 'R8', CAST(n AS VARCHAR) FROM parts WHERE n > 1)"""
+
+
+@query(_VALIDATE)
 def validate_claims(spark, sf_dir):
     """Q1-Q13: the failures of a set of claims."""
     claims, ledger, nodes = _claims(spark)

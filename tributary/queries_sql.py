@@ -110,14 +110,10 @@ def fn_contains_word(spark, sf_dir):
 def fn_one_edit(spark, sf_dir):
     """Names one edit apart, met where they agree with one character left out."""
     n = read(spark, sf_dir, "nation").select("n_name")
-    other = n.unionByName(n.select(F.expr("left(n_name, length(n_name) - 1)").alias("n_name"))).withColumnRenamed("n_name", "other")
+    other = n.unionByName(n.select(F.expr("left(n_name, length(n_name) - 1)").alias("n_name")))
 
-    def left_out(df, c):
-        places = F.sequence(F.lit(0), F.length(c))
-        cut = lambda i: F.when(i == 0, F.col(c)).otherwise(F.concat(F.substring(F.col(c), F.lit(1), i - 1), F.substring(F.col(c), i + 1, F.length(c))))
-        return df.withColumn("key", F.explode(F.array_distinct(F.transform(places, cut))))
-
-    met = left_out(n.withColumnRenamed("n_name", "name").withColumn("a", F.monotonically_increasing_id()), "name").join(left_out(other.withColumn("b", F.monotonically_increasing_id()), "other"), "key")
+    key = lambda df, c, i: df.withColumnRenamed("n_name", c).withColumn(i, F.monotonically_increasing_id()).withColumn("key", F.explode(X.without_one(F.col(c))))
+    met = key(n, "name", "a").join(key(other, "other", "b"), "key")
     return met.select("a", "b", "name", "other").distinct().filter(F.levenshtein("name", "other") == 1).select("name", "other")
 
 
