@@ -615,11 +615,37 @@ def link_columns(spark, sf_dir):
     return linking.link(m, _catalog(spark), fuzzy=False).filter("rank = 1").select("mention", "column_id", "score", "tier")
 
 
-@query()
+# Likeness in SQL: the longest common block of two texts, the earliest in the first and then in the second, and the same again before and behind it.
+_FUZZY = (
+    _LINK.replace("WITH m AS", "WITH RECURSIVE m AS", 1)
+    + """, mt AS (SELECT mention, generate_subscripts(f, 1) AS i, unnest(f) AS x FROM m), ct AS (SELECT id, generate_subscripts(f, 1) AS j, unnest(f) AS y FROM c),
+whole AS (SELECT mention, id, array_to_string(m.f, ' ') AS p, array_to_string(c.f, ' ') AS q, len(m.f) + len(c.f) AS n FROM m, c),
+asked AS (SELECT DISTINCT x AS p, y AS q FROM mt, ct WHERE 2.0 * least(length(x), length(y)) >= 0.8 * (length(x) + length(y)) UNION SELECT p, q FROM whole),
+seg AS (
+  SELECT p, q, p AS a, q AS b, 0 AS k FROM asked
+  UNION ALL
+  SELECT p, q, ch.a, ch.b, ch.k FROM (
+    SELECT p, q, unnest([{'a': substr(a, 1, i - 1), 'b': substr(b, 1, j - 1), 'k': 0}, {'a': substr(a, i + k), 'b': substr(b, j + k), 'k': 0}, {'a': '', 'b': '', 'k': k}]) AS ch FROM (
+      SELECT p, q, a, b, code // 10000 AS k, 99 - (code // 100) % 100 AS i, 99 - code % 100 AS j FROM (
+        SELECT p, q, a, b, list_max(flatten(list_transform(range(1, length(a) + 1), lambda i: list_transform(range(1, length(b) + 1), lambda j: (99 - i) * 100 + 99 - j + 10000 * list_max(list_filter(range(0, least(length(a) - i, length(b) - j) + 2), lambda k: substr(a, i, k) = substr(b, j, k))))))) AS code
+        FROM seg WHERE length(a) > 0 AND length(b) > 0))
+    WHERE k > 0)
+),
+ratios AS (SELECT p, q, 2.0::DOUBLE * sum(k) / (length(p) + length(q)) AS r FROM seg GROUP BY p, q),
+near AS (SELECT mention, id, i, j, r FROM mt, ct, ratios WHERE p = x AND q = y AND r >= 0.8),
+best AS (SELECT *, row_number() OVER (PARTITION BY mention, id, i ORDER BY r DESC, j DESC) AS by_i, row_number() OVER (PARTITION BY mention, id, j ORDER BY r DESC, i DESC) AS by_j FROM near),
+paired AS (SELECT mention, id, sum(r) AS total FROM best WHERE by_i = 1 AND by_j = 1 GROUP BY 1, 2),
+fuzzy AS (SELECT mention, id, 0.8::DOUBLE * (0.7::DOUBLE * (2 * total / n) + 0.3::DOUBLE * r) AS score, 'fuzzy' AS tier FROM paired JOIN whole USING (mention, id) JOIN ratios USING (p, q) WHERE score >= 0.6),
+top AS (SELECT mention, id, max({'score': score, 'tier': tier}) AS b FROM (SELECT * FROM hits UNION ALL SELECT * FROM fuzzy) GROUP BY 1, 2),
+ranked AS (SELECT mention, id AS column_id, round(b.score, 4) AS score, b.tier AS tier, row_number() OVER (PARTITION BY mention ORDER BY round(b.score, 4) DESC, id) AS rank FROM top)"""
+)
+
+
+@query(_FUZZY + " SELECT * FROM ranked WHERE tier = 'fuzzy'")
 def link_fuzzy(spark, sf_dir):
     """Mentions with slips, by likeness."""
     m = spark.createDataFrame([(x,) for x in _MENTIONS], "mention string")
-    return linking.link(m, _catalog(spark)).filter("tier = 'fuzzy'")
+    return linking.link(m, _catalog(spark)).filter("tier = 'fuzzy'").withColumn("rank", F.col("rank").cast("long"))
 
 
 _CLAIMS = [
