@@ -82,6 +82,14 @@ ORACLES = {
                doc_id = min(doc_id) OVER w AS kept, sha256(t) AS text_sha256
         FROM n WINDOW w AS (PARTITION BY t)
     """,
+    "op8_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+        d AS (SELECT *, sha1(h) || '0' AS hex, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+        SELECT page_id, strlen(h) AS payload_bytes,
+               list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((CAST('0x' || substr(hex, 5 * i // 4 + 1, 2) AS INTEGER) >> (3 - 5 * i % 4)::INTEGER) & 31), 1)), 'string_agg', '') AS payload_digest,
+               CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+        FROM d
+    """,
     "op7_embedding_dedup": """
         WITH RECURSIVE v AS (
           SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
